@@ -98,24 +98,26 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
     return x
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, grams: Grams, unit: bool, bayes: bool, l2: float, steps: int = 40, least: int = 2) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray, grams: Grams, unit: bool, bayes: bool, l2: float, steps: int = 40, least: int = 3, most: int = 1 << 14) -> Model:
     """Logistic regression on presence features; with bayes, each feature is scaled by its naive
-    Bayes log-count ratio."""
+    Bayes log-count ratio. Features seen in `least` rows compete by ratio and frequency for `most`
+    places, which bounds the memory of the fit."""
     size, y = 1 << grams.bits, np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
         return Model(grams, np.zeros(size, np.float32), float(np.log((share + 0.01) / (1.01 - share))), unit)
-    counts, ids = np.array([len(r) for r in rows]), np.concatenate(rows)
-    common = np.bincount(ids, minlength=size) >= least
-    norm = np.repeat(1.0 / np.maximum(1.0, counts) ** 0.5, counts) if unit else np.ones(len(ids))
-    of = np.repeat(np.arange(len(rows)), counts)
-    keep = common[ids]
-    of, norm, (used, ids) = of[keep], norm[keep], np.unique(ids[keep], return_inverse=True)
-    scale = np.ones(len(used))
-    if bayes:
-        hit = np.bincount(ids, weights=y[of], minlength=len(used))
-        miss = np.bincount(ids, weights=1 - y[of], minlength=len(used))
-        scale = np.log((hit + 1) / (y.sum() + 2)) - np.log((miss + 1) / ((1 - y).sum() + 2))
+    hit, miss = np.zeros(size), np.zeros(size)
+    for r, label in zip(rows, y, strict=True):
+        (hit if label == 1 else miss)[r] += 1
+    ratio = np.log((hit + 1) / (y.sum() + 2)) - np.log((miss + 1) / ((1 - y).sum() + 2))
+    worth = np.where(hit + miss >= least, np.abs(ratio) * np.sqrt(hit + miss), 0)
+    used = np.sort(np.argsort(-worth, kind="stable")[: min(most, int((worth > 0).sum()))])
+    place = np.full(size, -1, np.int32)
+    place[used] = np.arange(len(used))
+    kept = [place[r][place[r] >= 0] for r in rows]
+    ids, of = np.concatenate(kept), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in kept])
+    norm = (np.array([max(1, len(r)) for r in rows]) ** -0.5)[of] if unit else np.ones(len(ids))
+    scale = ratio[used] if bayes else np.ones(len(used))
     norm = norm * scale[ids]
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:

@@ -24,7 +24,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def train(docs: DataFrame, labels: DataFrame, each: int = 1500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, each: int = 1000) -> Model:
     """Fits on up to `each` labelled rows of either label that are not held out."""
     rows, y = features(sample(docs, labels, "quality", each), GRAMS)
     return calibrated(rows, y, GRAMS, unit=True, bayes=False, l2=1e-4, prior=share(labels, "quality"))

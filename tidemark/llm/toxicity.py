@@ -20,7 +20,7 @@ from tidemark.llm.textops import slices
 GRAMS = Grams(chars=(4, 6, 8), bits=20)
 
 
-def train(docs: DataFrame, labels: DataFrame, each: int = 1500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, each: int = 1000) -> Model:
     """Fits on up to `each` rows of either label that are not held out."""
     rows, y = features(sample(docs, labels, "toxic", each), GRAMS)
     return calibrated(rows, y, GRAMS, unit=False, bayes=True, l2=1e-3, prior=share(labels, "toxic"))
