@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, personal, quality, substring, suffixes, toxicity
+from tidemark.llm import chat, mixing, neardup, personal, quality, substring, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -55,5 +59,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_mixing, op6_personal_data, op7_substring_dedup, op8_toxicity, op9_quality, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op4_near_dedup, op5_mixing, op6_personal_data, op7_substring_dedup, op8_toxicity, op9_quality, op10_chat_format)}
 ORACLES: dict[str, str] = {}
