@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, neardup, personal, quality, substring, suffixes, toxicity
+from tidemark.llm import chat, decontaminate, language, mixing, neardup, personal, quality, substring, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,15 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -59,5 +68,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op4_near_dedup, op5_mixing, op6_personal_data, op7_substring_dedup, op8_toxicity, op9_quality, op10_chat_format)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_language, op4_near_dedup, op5_mixing, op6_personal_data, op7_substring_dedup, op8_toxicity, op9_quality, op10_chat_format, pipeline)}
 ORACLES: dict[str, str] = {}
