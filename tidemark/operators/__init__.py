@@ -1,0 +1 @@
+"""Operators as functions from DataFrames to DataFrames."""

@@ -1,0 +1,3 @@
+"""Registered queries."""
+
+from tidemark.plans import ingest_queries  # noqa: F401
