@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from tidemark.plans import ingest_queries  # noqa: F401
+from tidemark.plans import ingest_queries, relational_queries  # noqa: F401
