@@ -146,7 +146,7 @@ def segments(rows: pa.Table, answers: pa.Table, width: int, bits: int) -> dict[s
     code, place, first, last, mark = (x[mark > 0] for x in (code, place, first, last, mark))
     hot = mark == 2
     times = np.where(hot, last - first + 1, 1)
-    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    step = spread(times)[1]
     single = np.repeat(hot, times)
     start = np.repeat(first, times) + np.where(single, step, 0)
     length = np.where(single, width, np.repeat(last - first, times) + width)
@@ -158,8 +158,7 @@ def segments(rows: pa.Table, answers: pa.Table, width: int, bits: int) -> dict[s
     doc = ids(rows)[row]
     _, group = np.unique(mix(key) ^ mix(offset.astype(U) * U(131) + length.astype(U)), return_inverse=True)
     order, kind = sort_suffixes(data, start, length, group)
-    least = np.full(int(kind.max()) + 1 if len(kind) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, kind, doc)
+    least = smallest(kind, doc)
     rep = np.zeros(len(least), np.int64)
     rep[kind[::-1]] = np.arange(len(kind))[::-1]
     by = np.lexsort((start[rep], length[rep], offset[rep], key[rep]))
@@ -190,22 +189,44 @@ def mark_anchors(asked: list[list[np.ndarray]]) -> list[np.ndarray]:
     return np.split(mark, np.cumsum([len(x[0]) for x in asked])[:-1])
 
 
+def smallest(kind: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The smallest value of each kind."""
+    out = np.full(int(kind.max()) + 1 if len(kind) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(out, kind, values)
+    return out
+
+
+def spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0 n[0] times, 1 n[1] times, ..., and the count within each."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def match_segments(width: int):
     def match(asked: list[list[np.ndarray]]) -> list[np.ndarray]:
         """For each segment a bit for each of its windows that also starts in a smaller doc_id."""
         key, offset, length, doc, data = (np.concatenate([x[i] for x in asked]) for i in range(5))
         length = length.astype(np.int64)
         start = np.cumsum(length) - length
-        n = length - width + 1
-        of = np.repeat(np.arange(len(n)), n)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         _, group = np.unique(key, return_inverse=True)
-        near = offset.astype(np.int64)[of] - step  # bytes of the window before its anchor
-        _, kind = sort_suffixes(data, start[of] + step, np.full(len(of), width), group[of] * 256 + near % 256)
-        least = np.full(int(kind.max()) + 1 if len(kind) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, kind, doc[of])
-        out = np.zeros(len(n), np.uint64)
-        np.bitwise_or.at(out, of, (least[kind] < doc[of]).astype(U) << step.astype(U))
+        _, kind = sort_suffixes(data, start, length, group * 256 + offset)
+        least = smallest(kind, doc)
+        out = np.where(least[kind] < doc, ~U(0), U(0))
+        # anchors with several segments: the windows of one of each kind, sorted as suffixes
+        one = np.unique(kind, return_index=True)[1]
+        several = np.bincount(group[one], minlength=int(group.max()) + 1 if len(group) else 0) > 1
+        one = one[several[group[one]]]
+        of, step = spread(length[one] - width + 1)
+        near = offset[one].astype(np.int64)[of] - step  # bytes of the window before its anchor
+        _, same = sort_suffixes(data, start[one][of] + step, np.full(len(of), width), group[one][of] * 256 + near % 256)
+        first = smallest(same, least[kind[one]][of])[same]
+        place = np.full(len(least), -1)
+        place[kind[one]] = np.arange(len(one))
+        begin = np.append(0, np.cumsum(length[one] - width + 1))
+        for w in range(int((length[one] - width + 1).max()) if len(one) else 0):
+            at = place[kind]
+            has = np.flatnonzero((at >= 0) & (w <= length - width))
+            out[has] |= (first[begin[at[has]] + w] < doc[has]).astype(U) << U(w)
         return np.split(out, np.cumsum([len(x[0]) for x in asked])[:-1])
 
     return match
@@ -237,10 +258,8 @@ def deduplicated(docs: DataFrame, width: int = 50) -> DataFrame:
     def cut(rows: pa.Table, answers: pa.Table) -> pa.Table:
         data, offsets = text_view(rows["text"])
         s = segments(rows, answers, width, bits)
-        n = s["length"] - width + 1
-        of = np.repeat(np.arange(len(n)), n)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        bit = (told(answers, 1)[s["entry"]][of] >> step.astype(U)) & U(1) if len(n) else np.empty(0, U)
+        of, step = spread(s["length"] - width + 1)
+        bit = (told(answers, 1)[s["entry"]][of] >> step.astype(U)) & U(1) if len(of) else np.empty(0, U)
         gone = (bit > 0) | (s["doc"] > s["least"][s["entry"]])[of]
         start = s["start"][of][gone] + step[gone]
         drop = covered(len(data), start, start + width)
