@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -45,9 +45,14 @@ class Corpus:
     def over(self, f: Callable[[pa.Table, pa.Table | None], pa.Table], schema: str, answers: DataFrame | None = None) -> DataFrame:
         names = [x.split()[0] for x in schema.split(", ")]
         if answers is None:
-            return self.texts.groupBy("chunk").applyInArrow(lambda rows: f(rows, None), schema)
+            return self.texts.groupBy("chunk").applyInArrow(lambda rows: f(ordered(rows), None), schema)
         empty = lambda: pa.table({n: pa.array([], pa.int64()) for n in names})
-        return self.texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda rows, got: f(rows, got) if rows.num_rows else typed(empty(), schema), schema)
+        return self.texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda rows, got: f(ordered(rows), got) if rows.num_rows else typed(empty(), schema), schema)
+
+
+def ordered(rows: pa.Table) -> pa.Table:
+    """A chunk's rows in one order however often they are read: answers refer to places."""
+    return rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 def typed(table: pa.Table, schema: str) -> pa.Table:
@@ -64,7 +69,7 @@ def corpus(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Corpus:
     total = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n = max(1, -(-total // chunk_bytes))
     texts = rows.select(F.pmod(F.hash("doc_id", F.lit(7)), F.lit(n)).alias("chunk"), "doc_id", "text").repartition(n, "chunk")
-    return Corpus(texts, total, 1 << max(0, n.bit_length() - 1))
+    return Corpus(texts, total, 1 << max(0, (n // 2).bit_length() - 1))
 
 
 def answered(asked: DataFrame, f: Callable[[list[list[np.ndarray]]], list[np.ndarray]], kind: int) -> DataFrame:
@@ -102,7 +107,7 @@ def unpacked(body: bytes) -> list[np.ndarray]:
 
 def dealt(key: np.ndarray, bits: int, shards: int, *more: np.ndarray) -> list[tuple[int, list[np.ndarray]]]:
     """Ascending keys below 2**bits, and what goes with them, by shard."""
-    edges = np.searchsorted(key, (np.arange(1, shards, dtype=U) << U(bits)) // U(shards))
+    edges = np.searchsorted(key, np.array([(k << bits) // shards for k in range(1, shards)], U))
     edges = [0, *edges.tolist(), len(key)]
     return [(k, [x[a:b] for x in (key, *more)]) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
 
