@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from tidemark.plans import ingest_queries, relational_queries  # noqa: F401
+from tidemark.plans import graph_queries, ingest_queries, monitor_queries, relational_queries, search_queries  # noqa: F401
