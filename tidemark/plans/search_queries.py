@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import monitor, search
 from tidemark.operators import relational as rel
-from tidemark.operators import search
+from tidemark.operators import vectors as ann
 from tidemark.operators.adapters import family
 from tidemark.plans.ingest_queries import FOCUS_SQL, focus_history
 from tidemark.plans.registry import query
@@ -386,3 +387,34 @@ def _(spark, sf_dir):
 @query("gen01_token_counts", "SELECT doc_id, ceil(strlen(text) / 4.0)::BIGINT AS tokens FROM documents")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", search.token_count(F.col("text")).alias("tokens"))
+
+
+@query("vec04_ivf_search")
+def _(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked_ = v.where("id % 20 = 0").select(F.col("id").alias("q_id"), F.col("vector").alias("probe"))
+    return ann.ivf_search(asked_, v, 10, ann.cells(v, 32), 24)
+
+
+@query("vec01_embedded_chunks")
+def _(spark, sf_dir):
+    return ann.embedded(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")).select("id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+
+
+@query("vec08_stale_families", f"WITH {CHUNK_SQL} SELECT domain AS family FROM chunks GROUP BY domain HAVING max(doc_id) % 2 = 0")
+def _(spark, sf_dir):
+    f = chunks(spark, sf_dir).groupBy(F.col("domain").alias("family")).agg(F.max("doc_id").alias("d"))
+    meta = f.select("family", F.when(F.col("d") % 2 == 0, "old").otherwise("new").alias("model_id"))
+    return ann.stale(f.select("family"), meta, "new")
+
+
+@query("vec13_fragments", "SELECT count(*) AS rows FROM documents")
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return d.agg(F.sum("n").alias("rows"))
+
+
+@query("gen04_common_prefix", "WITH t AS (SELECT item_id AS seq, string_split(lower(text), ' ') AS tokens FROM benchmark), p AS (SELECT *, lag(tokens) OVER (ORDER BY seq) AS prev FROM t) SELECT seq, CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(range(1, len(tokens) + 1), lambda k: list_slice(tokens, 1, k) = list_slice(prev, 1, k) AND k <= len(prev))) END AS shared FROM p")
+def _(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), F.split(F.lower("text"), " ").alias("tokens"))
+    return monitor.common_prefix(b)
