@@ -8,10 +8,10 @@ leaving out each component of each chunk in turn gives keys of which such a pair
 pair within the radius is therefore met, and links are confirmed on full sets.
 
 Equal sets collapse into one node before anything is joined. In the bucket of a key, members are first
-tried against its most central member (the one whose keys meet most others), which settles
-groups of copies in as many pairs as members. Only then, in buckets that still hold several
-components, pairs across components are compared by signature, in blocks of bounded size, and those
-within the radius are confirmed. No bucket is capped and none goes to one task.
+tried against its hub, the member whose keys meet most others, which settles groups of copies in as many
+pairs as members. Two sets that share a key also share its hub; so the members of a hub that are
+not in its component then meet all its members, exactly and in blocks of bounded size. No bucket is
+capped and none goes to one task.
 
 A text without words (or null) has an empty set and is linked with nothing. Rows that share a
 doc_id count as one document; a null id is one too, larger than all others. Extra columns are
@@ -31,7 +31,7 @@ from tidemark.llm.graph import components
 from tidemark.llm.shared import stored
 from tidemark.llm.textops import U, Words, mix, rolling, slices
 
-PLACES, BLOCK = 64, 1024
+PLACES, BLOCK, BLOCK_SHINGLES, COLUMNS = 64, 1024, 1 << 20, 4096
 LAST = (1 << 63) - 1
 
 
@@ -136,76 +136,92 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
 
-def across(members: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of one key and different labels whose signatures differ in at most `most`
-    components. members: (key, n, id, label, sig). A bucket is compared in pairs of blocks."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    m = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("id"), F.col("blocks")))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "label", "sig")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            edge = edges(table)
-            yield from groups(table, edge[:-1])
-            rest = table.slice(edge[-2]) if len(edge) > 1 else table
-        if rest is not None and rest.num_rows:
-            yield from groups(rest, np.array([0, rest.num_rows]))
-
-    def edges(table: pa.Table) -> np.ndarray:
-        k = [table[c].to_numpy() for c in ("key", "x", "y")]
-        new = np.zeros(table.num_rows, bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in k])
-        return np.concatenate([[0], np.flatnonzero(new), [table.num_rows]])
-
-    def groups(table: pa.Table, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(edge) < 2:
-            return
-        table = table.slice(0, edge[-1]).combine_chunks()
-        x, y, own, ids, label = (table[c].to_numpy() for c in ("x", "y", "own", "id", "label"))
-        sig = matrix(table["sig"])
+def across(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between different labels of one hub's members (hub, id, label, main, size), found
+    exactly: the members that are not of the hub's own component meet all others, in pairs of blocks
+    of at most BLOCK members and about BLOCK_SHINGLES shingles. A pair of blocks returns no more
+    links than it has labels."""
+    blocks = lambda w: F.ceil(F.greatest(F.count(F.when(w, 1)) / BLOCK, F.sum(F.when(w, F.col("size")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    shape = members.groupBy("hub").agg(blocks(~F.col("main")).alias("others"), blocks(F.col("main")).alias("mains")).where("others > 0")
+    m = members.join(shape, "hub").withColumn("own", F.pmod(F.hash("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
+    m = m.withColumn("own", F.when(F.col("main"), F.col("own") + F.col("others")).otherwise(F.col("own")))
+    last = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), last))).join(texts, "id")
+    m = m.select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "label", "text")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        own, ids, label = (rows[c].to_numpy() for c in ("own", "id", "label"))
         left, right = [], []
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            one = np.arange(a, b)[own[a:b] == x[a]]
-            two = one if x[a] == y[a] else np.arange(a, b)[own[a:b] == y[a]]
-            for i in one:
-                near = two[(label[two] != label[i]) & ((sig[two] != sig[i]).sum(axis=1) <= most)]
-                near = near[ids[near] > ids[i]] if x[a] == y[a] else near
-                left.append(np.full(len(near), ids[i]))
-                right.append(ids[near])
-        if left:
-            left, right = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
-
-    return m.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(compare, "a bigint, b bigint").distinct()
+        if len(np.unique(label)) > 1:
+            sets = []
+            for _, data, offsets in slices(rows.select(["text"]).to_batches(), "text"):
+                code, first = shingle_sets(data, offsets, shingle)
+                sets += [code[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
+            one, two = np.flatnonzero(own == rows["x"][0].as_py()), np.flatnonzero(own == rows["y"][0].as_py())
+            common = intersections(sets, one, two)
+            size = np.array([len(x) for x in sets])
+            union = size[one][:, None] + size[two][None, :] - common
+            i, j = np.nonzero((100 * common >= percent * union) & (label[one][:, None] != label[two][None, :]))
+            i, j = one[i], two[j]
+            _, some = np.unique(np.stack([label[i], label[j]]), axis=1, return_index=True)
+            root: dict[int, int] = {}
+            for k in some:
+                a, b = (find(root, int(label[e[k]])) for e in (i, j))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    left.append(min(ids[i[k]], ids[j[k]]))
+                    right.append(max(ids[i[k]], ids[j[k]]))
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return m.groupBy("hub", "x", "y").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def find(root: dict[int, int], x: int) -> int:
+    while root.get(x, x) != x:
+        x = root[x]
+    return x
+
+
+def intersections(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets[one] with sets[two]: products of 0/1 matrices over the codes
+    that occur twice or more, some columns at a time."""
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    kept = (count > 1)[column]
+    row, column = row[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        out += part[one] @ part[two].T
+    return out.astype(np.int64)
 
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Confirmed links between nodes (id, n_shingles, sig), enough of them to connect what is linked,
     and the labels (id, label) of the nodes that have some."""
-    most = radius(percent)
-    rows = keyed(nodes, most)
+    rows = keyed(nodes, radius(percent))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bucket = stored(rows.join(shared, "key"))
     central = bucket.groupBy("id").agg(F.sum("n").alias("central"))
-    ranked = bucket.join(central, "id")
-    best = ranked.groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("best"))
-    star = bucket.select("key", "id").join(best.select("key", (-F.col("best.minus")).alias("hub")), "key").where("id <> hub")
+    best = bucket.join(central, "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("best"))
+    star = stored(bucket.select("key", "id").join(best.select("key", (-F.col("best.minus")).alias("hub")), "key").select("hub", "id").distinct())
     sizes = nodes.select("id", "n_shingles")
-    pairs = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    pairs = stored(fitting(pairs, sizes, percent))
-    used = bucket.select("id").distinct()
+    pairs = star.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     found = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"))
-    texts = stored(found.join(used, "id", "left_semi"))
-    edges = stored(confirmed(pairs, texts, shingle, percent))
+    # a merge join at every size: near the broadcast limit the plan would change with the input
+    texts = stored(found.join(star.select("id").distinct().hint("shuffle_merge"), "id", "left_semi"))
+    edges = stored(confirmed(fitting(pairs, sizes, percent), texts, shingle, percent))
     labels = components(edges)
-    named = bucket.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    members = named.join(mixed, "key").join(nodes.select("id", "sig"), "id")
-    more = across(members, most).join(pairs, ["a", "b"], "left_anti")
-    more = stored(confirmed(stored(fitting(more, sizes, percent)), texts, shingle, percent))
+    named = star.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    hubs = labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
+    named = named.join(hubs, "hub", "left").withColumn("main", F.col("label") == F.coalesce("hub_label", "hub")).join(sizes.withColumnRenamed("n_shingles", "size"), "id")
+    more = stored(across(named.select("hub", "id", "label", "main", "size"), texts, shingle, percent))
     edges = edges.unionAll(more)
     return edges, components(edges, labels, more)
 
