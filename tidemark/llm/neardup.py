@@ -14,7 +14,7 @@ not in its component then meet all its members, exactly and in blocks of bounded
 capped and none goes to one task.
 
 A text without words (or null) has an empty set and is linked with nothing. Rows that share a
-doc_id count as one document; a null id is one too, larger than all others. Extra columns are
+doc_id are one document and so linked; a null id is one too, larger than all others. Extra columns are
 ignored by classes() and kept by keep_one().
 """
 
@@ -202,9 +202,15 @@ def intersections(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> n
     return out.astype(np.int64)
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links between nodes (id, n_shingles, sig), enough of them to connect what is linked,
-    and the labels (id, label) of the nodes that have some."""
+def same_document(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of rows (doc_id, id) that share a doc_id."""
+    first = rows.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z")
+    return rows.join(first, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
+def links(docs: DataFrame, nodes: DataFrame, same: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links between nodes (id, n_shingles, sig) and those given, enough of them to connect what
+    is linked, and the labels (id, label) of the nodes that have some."""
     rows = keyed(nodes, radius(percent))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bucket = stored(rows.join(shared, "key"))
@@ -216,7 +222,7 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> tupl
     found = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"))
     # a merge join at every size: near the broadcast limit the plan would change with the input
     texts = stored(found.join(star.select("id").distinct().hint("shuffle_merge"), "id", "left_semi"))
-    edges = stored(confirmed(fitting(pairs, sizes, percent), texts, shingle, percent))
+    edges = stored(confirmed(fitting(pairs, sizes, percent), texts, shingle, percent).unionAll(same))
     labels = components(edges)
     named = star.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     hubs = labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
@@ -237,7 +243,8 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): component_id is the smallest doc_id reachable."""
     base = stored(signatures(docs, shingle))
     nodes = stored(base.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
-    _, labels = links(docs, nodes.select("id", "n_shingles", "sig"), shingle, percent)
+    same = same_document(base.where("n_shingles > 0").select("doc_id", "h1", "h2").join(nodes.select("h1", "h2", "id"), ["h1", "h2"]).select("doc_id", "id"))
+    _, labels = links(docs, nodes.select("id", "n_shingles", "sig"), same, shingle, percent)
     named = nodes.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label"))
     own = base.select("doc_id", "n_shingles", "h1", "h2")
     full = own.where("n_shingles > 0").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", F.col("label").alias("component_id"))
