@@ -37,10 +37,10 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     word_chars = run_sums(inside & ((data & 0xC0) != 0x80), offsets)
     symbols = run_sums(SYMBOLS[data], offsets)
     breaks = np.flatnonzero(data == 10)
-    start, end = np.union1d(offsets[:-1], breaks + 1), None
+    start = np.union1d(offsets[:-1], breaks + 1)
     start = start[start < len(data)]
-    end = np.append(start[1:], len(data))
-    end = end - (data[end - 1] == 10) if len(end) else end
+    end = np.append(start[1:], len(data))[: len(start)]
+    end = end - (data[end - 1] == 10)
     with_word = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end = start[with_word], end[with_word]
     row = np.searchsorted(offsets, start, "right") - 1
