@@ -38,16 +38,21 @@ def frames(content: bytes) -> Iterator[bytes]:
         at += 4 + size
 
 
+def made(content: bytes) -> tuple[int, bool]:
+    """When a recording was made and whether it is anonymised."""
+    _, _, created, anonymised = HEADER.unpack_from(content)
+    return created, bool(anonymised)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(path, created_ns, anonymised, seq, frame) of the recordings at a path or glob, one file a task at most."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = list(frames(content))
-                _, _, created, anonymised = HEADER.unpack_from(content)
+                parts, (created, anonymised) = list(frames(content)), made(content)
                 n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([created] * n, pa.int64()), pa.array([bool(anonymised)] * n), pa.array(range(n), pa.int64()), pa.array(parts, pa.binary())], ["path", "created_ns", "anonymised", "seq", "frame"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([created] * n, pa.int64()), pa.array([anonymised] * n), pa.array(range(n), pa.int64()), pa.array(parts, pa.binary())], ["path", "created_ns", "anonymised", "seq", "frame"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(split, "path string, created_ns bigint, anonymised boolean, seq bigint, frame binary")
