@@ -67,8 +67,10 @@ def segments(events: DataFrame, own: tuple[str, ...] = (), prefix: str = "\x00",
             state.update((app, title, plain, pid, since))
             state.setTimeoutDuration(ttl_ms)
         if out:
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in TOUCH.split(", ")])
-            yield frame.astype({"pid": "Int64", "t_start_ns": "Int64", "t_end_ns": "Int64"})
+            # nanoseconds do not survive a float column, which None would make
+            exact = {"long": "Int64", "string": object, "boolean": bool}
+            names = [c.split() for c in TOUCH.split(", ")]
+            yield pd.DataFrame({n: pd.array(v, dtype=exact[kind]) for (n, kind), v in zip(names, zip(*out, strict=True), strict=True)})
 
     return e.groupBy("toplevel_id").applyInPandasWithState(fold, TOUCH, WINDOW, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
@@ -83,13 +85,13 @@ def gated(touches: DataFrame, occurrences: int = OCCURRENCES, dwell_ns: int = DW
                 state.remove()
             return
         rows = pd.concat(list(batches)).sort_values("seq")
-        spans = (rows.t_end_ns.astype("Int64") - rows.t_start_ns.astype("Int64")).fillna(0).clip(lower=0).astype("int64")
-        n, total = seen + rows.occurrence.astype("int64").cumsum(), dwell + spans.cumsum()
+        n, total = seen + rows.occurrence.astype("int64").cumsum(), dwell + rows.span.cumsum()
         state.update((int(n.iloc[-1]), int(total.iloc[-1])))
         state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"seq": rows.seq, "app_id": key[0], "promoted": (n >= occurrences) | (total > dwell_ns)})
 
-    return touches.groupBy("app_id").applyInPandasWithState(fold, "seq long, app_id string, promoted boolean", "seen long, dwell long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    span = F.greatest(F.coalesce(F.col("t_end_ns") - F.col("t_start_ns"), F.lit(0)), F.lit(0))
+    return touches.select("seq", "app_id", "occurrence", span.alias("span")).groupBy("app_id").applyInPandasWithState(fold, "seq long, app_id string, promoted boolean", "seen long, dwell long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def bursts(inserts: DataFrame, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
