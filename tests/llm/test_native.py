@@ -55,6 +55,16 @@ def test_spans_match_plain_regexes(spark):
     assert "iban:" in got[13].spans and "iban:" in got[14].spans and "ssn:" in got[14].spans
 
 
+def test_emails_at_a_hyphen_are_found_and_redacted(spark):
+    texts = ["bob@-x.com", "a gain@-0.5 b"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in personal.report(docs).collect()}
+    for i, t in enumerate(texts):
+        want = ",".join("%s:%d:%d" % x for x in base_spans(t))
+        assert (got[i].n_email, got[i].base_sha256, got[i].spans) == (1, sha(want), want)
+    assert [r.text for r in personal.redact(docs).orderBy("doc_id").collect()] == ["[EMAIL]", "a [EMAIL] b"]
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "é mail a@b.com now", None, None, None), (2, None, None, None, None), (3, "", None, None, None), (4, "no", "x", "y", 2)], SCHEMA)
     got = {r.doc_id: r for r in personal.redact(docs).collect()}

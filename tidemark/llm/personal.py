@@ -27,7 +27,7 @@ PATTERNS = {
 }
 #: A kind is looked for only in texts that have this.
 NEEDS = {
-    "email": "@[A-Za-z0-9]",
+    "email": "@[A-Za-z0-9-]",
     "ip": r"[0-9]\.[0-9]++\.[0-9]",
     "card": r"[0-9](?:[\x20-]?[0-9]){15}",
     "phone": r"\+[0-9]",
