@@ -14,3 +14,34 @@ def test_graph_has_every_entity(spark, sf_dir, db, name):  # noqa: F811
     assert "id % 3" not in sql
     got, want = QUERIES[name](spark, sf_dir), db.sql(sql)
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
+def whole(name, asked="q_id >= 0 AND q_id % 20 = 0", probes="vec_id % 20 = 0", *cuts):
+    """The SQL of a query with the whole query set and without other cuts (old, new)."""
+    sql = ORACLES[name].replace("q_id >= 0 AND q_id < 10", asked).replace("vec_id < 10", probes)
+    for old, new in cuts:
+        sql = sql.replace(old, new)
+    return sql
+
+
+def same(spark, sf_dir, db, name, sql):  # noqa: F811
+    got, want = QUERIES[name](spark, sf_dir), db.sql(sql)
+    found = rows(got.columns, got.collect())
+    assert found[1] and found == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", "txt05_bm25 vec02_knn_in_family vec03_knn_all_families vec06_family_scan vec07_vector_update vec09_predicate_delete".split())
+def test_searches_take_every_twentieth_and_all_vectors(spark, sf_dir, db, name):  # noqa: F811
+    same(spark, sf_dir, db, name, whole(name, "q_id >= 0 AND q_id % 20 = 0", "vec_id % 20 = 0", ("FROM embeddings JOIN chunks", "FROM embeddings LEFT JOIN chunks")))
+
+
+HYBRID = []
+
+
+@pytest.mark.parametrize("name", "hyb01_rrf vec10_hybrid_query hyb02_evidence hyb03_around hyb05_latest".split())
+def test_hybrid_queries_are_whole(spark, sf_dir, db, name):  # noqa: F811
+    same(spark, sf_dir, db, name, whole(name, "q_id >= 0 AND q_id % 20 = 0", "vec_id % 20 = 0", *HYBRID))
+
+
+def test_declined_questions_were_searched(spark, sf_dir, db):  # noqa: F811
+    same(spark, sf_dir, db, "prm05_declined", whole("prm05_declined", "q_id % 3 = 0", "vec_id % 3 = 0", *HYBRID))

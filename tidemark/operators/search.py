@@ -63,10 +63,10 @@ def of_width(vectors: DataFrame, width: int) -> DataFrame:
 
 def knn(probes: DataFrame, vectors: DataFrame, k: int, family: bool = False) -> DataFrame:
     """(q_id, id, family, distance, rank): the k nearest vectors (id, family, vector) of each probe
-    (q_id, probe), within each family if asked. The probes are a stated query set and meet every vector;
-    only the k best of a partition are shuffled, since ranks are limited before the exchange."""
+    (q_id, probe), within each family if asked. The probes meet every vector, in blocks of both where they
+    are too many to broadcast; only the k best of a block are shuffled, since ranks are limited before the exchange."""
     by = ["q_id", "family"] if family else ["q_id"]
-    near = vectors.crossJoin(F.broadcast(probes)).select("q_id", "id", "family", F.round(distance(F.col("vector"), F.col("probe")), 6).alias("distance"))
+    near = vectors.crossJoin(probes).select("q_id", "id", "family", F.round(distance(F.col("vector"), F.col("probe")), 6).alias("distance"))
     rank = F.row_number().over(W.partitionBy(*by).orderBy("distance", "id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 

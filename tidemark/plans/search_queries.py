@@ -1,7 +1,7 @@
 """Queries of text functions, keyword and vector search, fusion, evidence and prompts.
 
-Questions are the first benchmark items and a few fixed ones for the intents; question q's probe vector is
-the embedding of vec_id q. Thresholds are scaled to the tables where the note says so.
+Questions are the benchmark items and a few fixed ones for the intents; searches ask those whose id is divisible
+by 20. Question q's probe vector is the embedding of vec_id q. Thresholds are scaled to the tables where the note says so.
 """
 
 from __future__ import annotations
@@ -95,7 +95,8 @@ def bm25_sql(asked: str, k: int) -> str:
 
 
 def asked(spark, sf_dir):
-    return questions(spark, sf_dir).where(f"q_id >= 0 AND q_id < {ASKED}")
+    """The stated query set: items whose id is divisible by 20."""
+    return questions(spark, sf_dir).where("q_id >= 0 AND q_id % 20 = 0")
 
 
 ASKED_SQL = f"q_id >= 0 AND q_id < {ASKED}"
@@ -200,22 +201,29 @@ VECTOR_SQL = f"""{CHUNK_SQL}, vec AS (SELECT vec_id AS id, CASE WHEN domain = 'w
 
 
 def vectors(spark, sf_dir):
-    c = chunks(spark, sf_dir).select(F.col("doc_id").alias("id"), family(F.col("domain")).alias("family"))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).join(c, "id")
+    """All vectors (id, vector, family); one without a chunk is of the family of unknown domains."""
+    c = chunks(spark, sf_dir).select(F.col("doc_id").alias("id"), "domain")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return v.join(c, "id", "left").select("id", "vector", family(F.col("domain")).alias("family"))
 
 
 def probes(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where(f"vec_id < {ASKED}").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("probe"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("probe"))
+
+
+def probe_set(spark, sf_dir):
+    """The stated query set: vectors whose id is divisible by 20."""
+    return probes(spark, sf_dir).where("q_id % 20 = 0")
 
 
 @query("vec02_knn_in_family", f"WITH {VECTOR_SQL} SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, id) AS rank FROM dist WHERE family = 'work' QUALIFY rank <= 5")
 def _(spark, sf_dir):
-    return search.knn(probes(spark, sf_dir), search.of_width(vectors(spark, sf_dir), 64).where("family = 'work'"), 5)
+    return search.knn(probe_set(spark, sf_dir), search.of_width(vectors(spark, sf_dir), 64).where("family = 'work'"), 5)
 
 
 @query("vec03_knn_all_families", f"WITH {VECTOR_SQL} SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, id) AS rank FROM dist QUALIFY rank <= 20")
 def _(spark, sf_dir):
-    return search.knn_all_families(probes(spark, sf_dir), vectors(spark, sf_dir), 20)
+    return search.knn_all_families(probe_set(spark, sf_dir), vectors(spark, sf_dir), 20)
 
 
 @query("vec06_family_scan", f"WITH {VECTOR_SQL} SELECT family, count(*) AS n, min(id) AS first_id FROM vec GROUP BY family")
@@ -247,12 +255,15 @@ FUSE_SQL = f"""{VECTOR_SQL}, {bm25_sql(ASKED_SQL, 80).removeprefix(CHUNK_SQL + '
   fuse AS (SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY rrf DESC, d_rank NULLS LAST, w_rank) AS rank, text, c.chunk_id AS chunk_id, c.t_ns AS t_ns, c.domain AS domain, c.distance AS distance, taint, keyword_score, rrf FROM f QUALIFY rank <= 20)"""
 
 
-def hybrid(spark, sf_dir):
-    c = chunks(spark, sf_dir)
+def hybrid(spark, sf_dir, q=None):
+    """Fused hits of questions, the stated set unless given; hits have a text, so only vectors of chunks are ranked."""
+    c, q = chunks(spark, sf_dir), asked(spark, sf_dir) if q is None else q
+    own = probes(spark, sf_dir).join(q.select("q_id"), "q_id", "left_semi")
+    v = vectors(spark, sf_dir).join(c.select(F.col("doc_id").alias("id")), "id", "left_semi")
     short = c.select("doc_id", F.substring("text", 1, 40).alias("text"), "chunk_id", "taint", "t_ns", "domain")
-    dense = search.knn_all_families(probes(spark, sf_dir), vectors(spark, sf_dir), 80).select("q_id", "rank", "distance", F.col("id").alias("doc_id")).join(short, "doc_id")
-    words = search.bm25(asked(spark, sf_dir), c, 80).select("q_id", "rank", "doc_id").join(short, "doc_id")
-    return search.fused(dense, words, asked(spark, sf_dir), 20)
+    dense = search.knn_all_families(own, v, 80).select("q_id", "rank", "distance", F.col("id").alias("doc_id")).join(short, "doc_id")
+    words = search.bm25(q, c, 80).select("q_id", "rank", "doc_id").join(short, "doc_id")
+    return search.fused(dense, words, q, 20)
 
 
 @query("hyb01_rrf", f"WITH {FUSE_SQL} SELECT * FROM fuse")
@@ -368,7 +379,8 @@ def _(spark, sf_dir):
 
 @query("prm05_declined", f"WITH {EVIDENCE_SQL} SELECT q.q_id, count(e.rank) = 0 AND q.q_id % 3 = 0 AS declined FROM question q LEFT JOIN evid e USING (q_id) GROUP BY q.q_id")
 def _(spark, sf_dir):
-    n = search.evidence(hybrid(spark, sf_dir)).groupBy("q_id").agg(F.count(F.lit(1)).alias("n"))
+    judged = questions(spark, sf_dir).where("q_id % 3 = 0")  # the others are never declined
+    n = search.evidence(hybrid(spark, sf_dir, judged)).groupBy("q_id").agg(F.count(F.lit(1)).alias("n"))
     return questions(spark, sf_dir).join(n, "q_id", "left").select("q_id", (F.col("n").isNull() & (F.col("q_id") % 3 == 0)).alias("declined"))
 
 
