@@ -35,7 +35,7 @@ def test_searches_take_every_twentieth_and_all_vectors(spark, sf_dir, db, name):
     same(spark, sf_dir, db, name, whole(name, "q_id >= 0 AND q_id % 20 = 0", "vec_id % 20 = 0", ("FROM embeddings JOIN chunks", "FROM embeddings LEFT JOIN chunks")))
 
 
-HYBRID = []
+HYBRID = [("substring(text, 1, 40)", "text")]
 
 
 @pytest.mark.parametrize("name", "hyb01_rrf vec10_hybrid_query hyb02_evidence hyb03_around hyb05_latest".split())
@@ -45,3 +45,8 @@ def test_hybrid_queries_are_whole(spark, sf_dir, db, name):  # noqa: F811
 
 def test_declined_questions_were_searched(spark, sf_dir, db):  # noqa: F811
     same(spark, sf_dir, db, "prm05_declined", whole("prm05_declined", "q_id % 3 = 0", "vec_id % 3 = 0", *HYBRID))
+
+
+def test_texts_are_whole(spark, sf_dir, db):  # noqa: F811
+    same(spark, sf_dir, db, "tnt03_wrapped", ORACLES["tnt03_wrapped"].replace("left(text, 200)", "text"))
+    same(spark, sf_dir, db, "adp11_external_documents", ORACLES["adp11_external_documents"].replace("substring(html, 1, 40)", "html"))

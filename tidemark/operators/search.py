@@ -77,24 +77,28 @@ def knn_all_families(probes: DataFrame, vectors: DataFrame, k: int) -> DataFrame
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def fused(dense: DataFrame, keyword: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+def fused(dense: DataFrame, keyword: DataFrame, questions: DataFrame, k: int, texts: DataFrame | None = None) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (q_id, rank, chunk_id, text, taint, t_ns, domain, and
     distance in the dense one) by text. Dense ranks count repeats, keyword ranks do not; the taint of
-    every copy unites; a chunk found by keyword only is FAR. Ties stay dense first, then by rank."""
-    one = ["q_id", "text"]
-    d = dense.groupBy(*one).agg(F.min("rank").alias("d_rank"), F.bit_or("taint").alias("d_taint"), F.min_by(F.struct("chunk_id", "t_ns", "domain", "distance"), "rank").alias("d"))
-    w = keyword.groupBy(*one).agg(F.min("rank").alias("raw"), F.bit_or("taint").alias("w_taint"), F.min_by(F.struct("chunk_id", "t_ns", "domain", F.lit(FAR).alias("distance")), "rank").alias("w"))
+    every copy unites; a chunk found by keyword only is FAR. Ties stay dense first, then by rank. With
+    `texts` (doc_id, text) the lists have doc_id and, as text, a hash of it; the k winners get the texts."""
+    one, own = ["q_id", "text"], ["chunk_id", "t_ns", "domain"] + ["doc_id"] * (texts is not None)
+    d = dense.groupBy(*one).agg(F.min("rank").alias("d_rank"), F.bit_or("taint").alias("d_taint"), F.min_by(F.struct(*own, "distance"), "rank").alias("d"))
+    w = keyword.groupBy(*one).agg(F.min("rank").alias("raw"), F.bit_or("taint").alias("w_taint"), F.min_by(F.struct(*own, F.lit(FAR).alias("distance")), "rank").alias("w"))
     w = w.withColumn("w_rank", F.row_number().over(W.partitionBy("q_id").orderBy("raw")))
-    both = d.join(w, one, "full").join(questions.select("q_id", T.query_terms(F.col("question")).alias("terms")), "q_id")
-    searchable = F.concat_ws(" ", F.col("text"), T.search_aliases(F.col("text")))
     score = lambda r: F.coalesce(1.0 / (RRF + F.col(r)), F.lit(0.0))
-    both = both.select(
+    both = d.join(w, one, "full").select(
         "q_id", "text", F.coalesce("d", "w").alias("c"), F.coalesce("d_taint", F.lit(0).cast("long")).bitwiseOR(F.coalesce("w_taint", F.lit(0).cast("long"))).alias("taint"),
-        F.when(F.col("w_rank").isNotNull(), T.terms_matched(F.col("terms"), searchable)).otherwise(0).cast("double").alias("keyword_score"),
         F.round(score("d_rank") + score("w_rank"), 9).alias("rrf"), "d_rank", "w_rank",
     )
     order = W.partitionBy("q_id").orderBy(F.desc("rrf"), F.col("d_rank").asc_nulls_last(), "w_rank")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "rank", "text", "c.*", "taint", "keyword_score", "rrf")
+    best = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if texts is not None:
+        best = best.drop("text").withColumn("doc_id", F.col("c.doc_id")).join(texts, "doc_id")
+    searchable = F.concat_ws(" ", F.col("text"), T.search_aliases(F.col("text")))
+    matched = F.when(F.col("w_rank").isNotNull(), T.terms_matched(F.col("terms"), searchable)).otherwise(0).cast("double")
+    best = best.join(questions.select("q_id", T.query_terms(F.col("question")).alias("terms")), "q_id")
+    return best.select("q_id", "rank", "text", "c.chunk_id", "c.t_ns", "c.domain", "c.distance", "taint", matched.alias("keyword_score"), "rrf")
 
 
 def evidence(candidates: DataFrame, k: int = TOP) -> DataFrame:

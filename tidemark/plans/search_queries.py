@@ -260,10 +260,10 @@ def hybrid(spark, sf_dir, q=None):
     c, q = chunks(spark, sf_dir), asked(spark, sf_dir) if q is None else q
     own = probes(spark, sf_dir).join(q.select("q_id"), "q_id", "left_semi")
     v = vectors(spark, sf_dir).join(c.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    short = c.select("doc_id", F.substring("text", 1, 40).alias("text"), "chunk_id", "taint", "t_ns", "domain")
-    dense = search.knn_all_families(own, v, 80).select("q_id", "rank", "distance", F.col("id").alias("doc_id")).join(short, "doc_id")
-    words = search.bm25(q, c, 80).select("q_id", "rank", "doc_id").join(short, "doc_id")
-    return search.fused(dense, words, q, 20)
+    keyed = c.select("doc_id", F.sha2("text", 256).alias("text"), "chunk_id", "taint", "t_ns", "domain")
+    dense = search.knn_all_families(own, v, 80).select("q_id", "rank", "distance", F.col("id").alias("doc_id")).join(keyed, "doc_id")
+    words = search.bm25(q, c, 80).select("q_id", "rank", "doc_id").join(keyed, "doc_id")
+    return search.fused(dense, words, q, 20, c.select("doc_id", "text"))
 
 
 @query("hyb01_rrf", f"WITH {FUSE_SQL} SELECT * FROM fuse")
