@@ -50,3 +50,15 @@ def test_declined_questions_were_searched(spark, sf_dir, db):  # noqa: F811
 def test_texts_are_whole(spark, sf_dir, db):  # noqa: F811
     same(spark, sf_dir, db, "tnt03_wrapped", ORACLES["tnt03_wrapped"].replace("left(text, 200)", "text"))
     same(spark, sf_dir, db, "adp11_external_documents", ORACLES["adp11_external_documents"].replace("substring(html, 1, 40)", "html"))
+
+
+MEDIA = [("substring(text, 1, 60)", "text"), (" AND doc_id < 100", "")]
+
+
+@pytest.mark.parametrize("name", ["txt11_relevant_media", "hyb06_specific_order", "hyb07_media_merge"])
+def test_media_are_all_chunks_with_whole_texts(spark, sf_dir, db, name):  # noqa: F811
+    same(spark, sf_dir, db, name, whole(name, "q_id >= 0 AND q_id % 20 = 0", "vec_id % 20 = 0", *HYBRID, *MEDIA))
+
+
+def test_every_question_meets_every_chunk(spark, sf_dir, db):  # noqa: F811
+    same(spark, sf_dir, db, "txt04_terms_matched", ORACLES["txt04_terms_matched"].replace("doc_id % 50 = abs(q_id) % 50", "true"))

@@ -122,12 +122,22 @@ def overview(activity: DataFrame, work: bool, keep: int) -> DataFrame:
     return top.select(line.alias("text"), F.col("first_ns").alias("t_ns"), "dwell_ms")
 
 
+def matched(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(q_id, doc_id, matched): how many terms of each question (q_id, question) each chunk has; every
+    question meets every chunk, in blocks where they are too many to broadcast."""
+    q = questions.select("q_id", F.transform(T.query_terms(F.col("question")), T.stem).alias("stems"))
+    c = chunks.select("doc_id", F.lower("text").alias("text"))
+    return c.crossJoin(q).select("q_id", "doc_id", F.size(F.filter("stems", lambda t: F.contains("text", t))).cast("long").alias("matched"))
+
+
 def on_topic(questions: DataFrame, media: DataFrame) -> DataFrame:
-    """Media rows (m_id, text) that share a telling word with each question; all if none does."""
-    word = F.exists(F.col("words"), lambda w: F.contains(F.lower("text"), w))
-    rows = media.crossJoin(F.broadcast(questions.select("q_id", T.media_words(F.col("question")).alias("words")))).withColumn("hit", word)
-    some = rows.groupBy("q_id").agg(F.bool_or("hit").alias("some"))
-    return rows.join(some, "q_id").where(F.col("hit") | ~F.col("some")).select("q_id", "m_id", "text")
+    """Media rows (m_id, text) that share a telling word with each question; all if none does. Questions meet
+    media in blocks where they are too many to broadcast; no text is shuffled."""
+    q = questions.select("q_id", T.media_words(F.col("question")).alias("words")).where("words IS NOT NULL")
+    hit = F.exists(F.col("words"), lambda w: F.contains("low", w))
+    media = media.withColumn("low", F.lower("text"))
+    some = media.select("low").crossJoin(q).where(hit).select("q_id").distinct().withColumn("some", F.lit(True))
+    return media.crossJoin(q.join(some, "q_id", "left")).where(F.col("some").isNull() | hit).select("q_id", "m_id", "text")
 
 
 def with_media(found: DataFrame, media: DataFrame, most: int = TOP + 3) -> DataFrame:

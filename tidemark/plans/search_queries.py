@@ -77,9 +77,7 @@ def _(spark, sf_dir):
 
 @query("txt04_terms_matched", f"WITH {QUESTION_SQL}, {CHUNK_SQL} SELECT q_id, doc_id, {matched_sql(terms_sql('question'), 'text')} AS matched FROM question JOIN chunks ON doc_id % 50 = abs(q_id) % 50")
 def _(spark, sf_dir):
-    q = questions(spark, sf_dir).withColumn("k", F.abs("q_id") % 50)
-    c = chunks(spark, sf_dir).withColumn("k", F.col("doc_id") % 50)
-    return q.join(c, "k").select("q_id", "doc_id", T.terms_matched(T.query_terms(F.col("question")), F.col("text")).alias("matched"))
+    return search.matched(questions(spark, sf_dir), chunks(spark, sf_dir))
 
 
 POSTING_SQL = f"""toks AS (SELECT doc_id, list_concat({words_sql('lower(text)')}, {words_sql('lower(' + aliases_sql('text') + ')')}) AS t FROM chunks),
@@ -158,7 +156,7 @@ TOPIC_SQL = f"""hits AS (SELECT q_id, m_id, text, len(list_filter({MWORD_SQL}, l
 
 
 def media_rows(spark, sf_dir):
-    return chunks(spark, sf_dir).where("domain = 'media_playback' AND doc_id < 100").select(F.col("doc_id").alias("m_id"), F.substring("text", 1, 60).alias("text"))
+    return chunks(spark, sf_dir).where("domain = 'media_playback'").select(F.col("doc_id").alias("m_id"), "text")
 
 
 @query("txt11_relevant_media", f"WITH {QUESTION_SQL}, {CHUNK_SQL}, {MEDIA_ROW}, {TOPIC_SQL} SELECT * FROM topic")
