@@ -1,9 +1,12 @@
 """Queries over all rows of their job; where a query's SQL cuts rows, the reference here is without the cut."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_oracles import db, rows  # noqa: F401
 
+from tidemark.operators import vectors
 from tidemark.plans.registry import ORACLES, QUERIES
+from tidemark.sources.tables import chunks
 
 GRAPH = "grf01_candidate_pairs grf02_graph_assembly grf03_normalised_adjacency grf04_appnp grf05_seeds grf06_pair_scores grf08_reinforcement grf09_lookback".split()
 
@@ -62,3 +65,10 @@ def test_media_are_all_chunks_with_whole_texts(spark, sf_dir, db, name):  # noqa
 
 def test_every_question_meets_every_chunk(spark, sf_dir, db):  # noqa: F811
     same(spark, sf_dir, db, "txt04_terms_matched", ORACLES["txt04_terms_matched"].replace("doc_id % 50 = abs(q_id) % 50", "true"))
+
+
+def test_every_chunk_is_embedded(spark, sf_dir):
+    want = {r.id: r.vector for r in vectors.embedded(chunks(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")).collect()}
+    got = {r.id: r.vector for r in QUERIES["vec01_embedded_chunks"](spark, sf_dir).collect()}
+    assert set(got) == {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()} and len(got) == 200
+    assert all(got[i] == pytest.approx(want[i], abs=1e-4) for i in got)

@@ -408,7 +408,7 @@ def _(spark, sf_dir):
 
 @query("vec01_embedded_chunks")
 def _(spark, sf_dir):
-    return ann.embedded(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")).select("id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+    return ann.embedded(chunks(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")).select("id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
 
 
 @query("vec08_stale_families", f"WITH {CHUNK_SQL} SELECT domain AS family FROM chunks GROUP BY domain HAVING max(doc_id) % 2 = 0")
