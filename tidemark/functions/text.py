@@ -63,7 +63,8 @@ def search_aliases(text: Column) -> Column:
         forum = F.when(word.startswith("r/") & (F.length(word) > 2), F.array(F.lit("reddit subreddit"))).otherwise(F.array().cast("array<string>"))
         return F.concat(acronym, forum)
 
-    return F.array_join(F.flatten(F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), of)), " ")
+    every = F.array_join(F.flatten(F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), of)), " ")
+    return F.when(text.rlike(r"\.\S+\.|(?:^|\s)r/\S"), every).when(text.isNotNull(), "")  # most texts have none
 
 
 def intent(question: Column) -> Column:

@@ -49,17 +49,54 @@ def prunable(cutoff_ns: int) -> Column:
 
 def snapped(probes: DataFrame, focus: DataFrame, around_ns: int = SNAP_NS) -> DataFrame:
     """For each probe (probe_id, t_ns) the focus row whose time is within around_ns of it: one that
-    contains it first, then the one with the nearest end. A row goes to every bucket that it touches
-    once widened, so that the join has an equal key; ties fall to the earlier start, then the id."""
-    width = max(4 * around_ns, 1)
-    bucket = lambda t: F.floor(t / width)
-    spread = focus.withColumn("bucket", F.explode(F.sequence(bucket(F.col("t_start_ns") - around_ns), bucket(F.col("t_end_ns") + around_ns))))
-    near = probes.withColumn("bucket", bucket(F.col("t_ns"))).join(spread, "bucket").where((F.col("t_end_ns") >= F.col("t_ns") - around_ns) & (F.col("t_start_ns") <= F.col("t_ns") + around_ns))
-    inside = F.col("t_ns").between(F.col("t_start_ns"), F.col("t_end_ns"))
-    edge = F.least(F.abs(F.col("t_start_ns") - F.col("t_ns")), F.abs(F.col("t_end_ns") - F.col("t_ns")))
-    row = F.struct(*[F.col(c) for c in focus.columns])
-    best = near.groupBy("probe_id").agg(F.min_by(row, F.struct((~inside).alias("out"), edge.alias("edge"), "t_start_ns", "id")).alias("f"))
-    return probes.join(best, "probe_id", "left").select("probe_id", "t_ns", "f.*")
+    contains it first, then the one with the nearest end; ties fall to the earlier start, then the id. No probe meets all
+    rows around it: rows that contain it come by `containing`, the last end before and the first start after it by `nearest_in_time`."""
+    f = focus.select(F.col("id"), F.col("t_start_ns").alias("s"), F.col("t_end_ns").alias("e"))
+    p = probes.select("probe_id", "t_ns")
+    found = containing(p, f).unionByName(nearest_in_time(p, f, around_ns))
+    inside = F.col("t_ns").between(F.col("s"), F.col("e"))
+    edge = F.least(F.abs(F.col("s") - F.col("t_ns")), F.abs(F.col("e") - F.col("t_ns")))
+    best = found.groupBy("probe_id").agg(F.min(F.struct((~inside).alias("out"), edge.alias("edge"), "s", "id")).alias("b")).select("probe_id", "b.id")
+    rest = [c for c in focus.columns if c != "id"]
+    return probes.join(best, "probe_id", "left").join(focus, "id", "left").select("probe_id", "t_ns", "id", *rest)
+
+
+def containing(probes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(probe_id, t_ns, id, s, e) of rows (id, s, e) that hold a probe's time, at most two for each power of two: a row is cut
+    into the aligned powers of two that make it up, each keeps the row of latest start and that of earliest end, and a
+    probe looks into the one of each size that holds it. One of those two has the edge nearest to the probe."""
+    sizes = "sequence(0, greatest(cast(ceil(log2(e - s + 2)) as int), 0))"
+    parts = rows.where("s <= e").withColumn("k", F.explode(F.expr(sizes)))
+    parts = parts.withColumn("l", F.expr("shiftright(s + shiftleft(1L, k) - 1, k)")).withColumn("r", F.expr("shiftright(e + 1, k)")).where("l < r")
+    ends = F.filter(F.array(F.when(F.col("l") % 2 != 0, F.col("l")), F.when(F.col("r") % 2 != 0, F.col("r") - 1)), lambda x: x.isNotNull())
+    nodes = parts.select("k", F.explode(ends).alias("node"), "id", "s", "e").groupBy("k", "node")
+    nodes = nodes.agg(F.min(F.struct((-F.col("s")).alias("order"), "id", "s", "e")).alias("late"), F.min(F.struct(F.col("e").alias("order"), "s", "id", "e")).alias("early"))
+    some = nodes.agg(F.sort_array(F.collect_set("k")).alias("sizes"))  # 64 at most
+    asked = probes.crossJoin(F.broadcast(some)).select("probe_id", "t_ns", F.explode("sizes").alias("k")).withColumn("node", F.expr("shiftright(t_ns, k)"))
+    near = asked.join(nodes, ["k", "node"]).select("probe_id", "t_ns", F.explode(F.array(F.struct("late.id", "late.s", "late.e"), F.struct("early.id", "early.s", "early.e"))).alias("f"))
+    return near.select("probe_id", "t_ns", "f.*")
+
+
+def nearest_in_time(probes: DataFrame, rows: DataFrame, around_ns: int, slices: int = 4096) -> DataFrame:
+    """(probe_id, t_ns, id, s, e): of rows (id, s, e) the one that ends last before a probe's time and the one that starts first
+    after it, if within around_ns. Time is cut into at most `slices` slices; a window runs over each, and what a slice
+    inherits from its neighbours is a table of one row a slice."""
+    span = rows.agg(F.min("s").alias("lo"), F.max("e").alias("hi")).select(F.coalesce("lo", F.lit(0)).alias("lo"), F.expr("greatest((coalesce(hi, 0) - coalesce(lo, 0)) div {0}, 1)".format(slices - 1)).alias("width"))
+    out = None
+    for at, order, near in (("e", F.struct(F.col("e").alias("order"), (-F.col("s")).alias("s"), (-F.col("id")).alias("id"), "e"), -1), ("s", F.struct((-F.col("s")).alias("order"), (-F.col("s")).alias("s"), (-F.col("id")).alias("id"), "e"), 1)):
+        events = rows.select(F.lit(None).cast("long").alias("probe_id"), F.col(at).alias("t_ns"), order.alias("row")).unionByName(probes.select("probe_id", "t_ns"), allowMissingColumns=True)
+        events = events.crossJoin(F.broadcast(span)).withColumn("slice", F.expr(f"least(greatest((t_ns - lo) div width, -1), {slices})"))
+        along = F.col("t_ns").asc() if near < 0 else F.col("t_ns").desc()
+        own = F.max("row").over(W.partitionBy("slice").orderBy(along).rangeBetween(W.unboundedPreceding, 0))
+        ends = events.where("row IS NOT NULL").groupBy("slice").agg(F.max("row").alias("row"))
+        every = F.broadcast(span.select(F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(slices).cast("long"))).alias("slice"))).join(ends, "slice", "left")
+        before = W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1) if near < 0 else W.orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)
+        carried = every.select("slice", F.max("row").over(before).alias("carried"))
+        found = events.withColumn("own", own).where("probe_id IS NOT NULL").join(F.broadcast(carried), "slice", "left").select("probe_id", "t_ns", F.coalesce("own", "carried").alias("f")).where("f IS NOT NULL")
+        found = found.select("probe_id", "t_ns", (-F.col("f.id")).alias("id"), (-F.col("f.s")).alias("s"), F.col("f.e").alias("e"))
+        found = found.where(F.abs(F.col(at) - F.col("t_ns")) <= around_ns)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def activity(focus: DataFrame, since_ns: int = 0, until_ns: int = 0, limit: int | None = None) -> DataFrame:
@@ -120,8 +157,3 @@ def duration_ns(text: Column) -> Column:
 
 def clamped(count: Column, most: int) -> Column:
     return F.least(F.greatest(count, F.lit(1)), F.lit(most))
-
-
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Ids from 1 in an order; one window over all rows, for small tables."""
-    return rows.withColumn("id", F.row_number().over(W.orderBy(*order)))

@@ -5,6 +5,10 @@ Questions come as a DataFrame, so a search answers many of them in one job.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,58 +21,98 @@ MAX_DISTANCE, MIN_KEYWORDS, TOP, FETCH = 0.775, 1.0, 5, 4
 SYSTEM_TOKENS, DEICTIC_TOKENS, EVIDENCE_TOKENS, SEPARATOR_TOKENS = 128, 64, 320, 4
 TOTAL_TOKENS = SYSTEM_TOKENS + DEICTIC_TOKENS + EVIDENCE_TOKENS
 SEPARATOR = "\n---\n"
+#: Probes in a block, and distances that are held at a time.
+PROBES, CELLS = 1024, 1 << 21
 
 
 def tokens(text: Column) -> Column:
     return T.words(F.lower(text))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, doc_id, tf): the keyword index over text and its aliases."""
-    both = F.concat(tokens(F.col("text")), tokens(T.search_aliases(F.col("text"))))
-    return chunks.select("doc_id", F.explode(both).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+def indexed(chunks: DataFrame) -> DataFrame:
+    """(doc_id, terms): the words of the text and of its aliases."""
+    return chunks.select("doc_id", F.concat(tokens(F.col("text")), tokens(T.search_aliases(F.col("text")))).alias("terms"))
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("doc_id", (F.size(tokens(F.col("text"))) + F.size(tokens(T.search_aliases(F.col("text"))))).alias("length"))
+def postings(chunks: DataFrame) -> DataFrame:
+    """(term, doc_id, tf): the keyword index over text and its aliases."""
+    return indexed(chunks).select("doc_id", F.explode("terms").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(q_id, doc_id, score, rank): the k best chunks of each question (q_id, question) with any of its
-    terms; terms in more than half of the chunks weigh next to nothing. Only rows of asked terms are
-    joined; question terms are few beside the index and each has one idf."""
+    terms; terms in more than half of the chunks weigh next to nothing. The words of a chunk carry its length and
+    those that nobody asked for go before anything is shuffled; each term has one idf."""
     asked = questions.select("q_id", F.explode(T.query_terms(F.col("question"))).alias("term"))
     terms = asked.select("term").distinct()
-    size = lengths(chunks)
-    total = size.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    hits = postings(chunks).join(terms, "term")
+    index = indexed(chunks).select("doc_id", "terms", F.size("terms").alias("length"))
+    total = index.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    words = index.select("doc_id", "length", F.explode("terms").alias("term"))
+    hits = words.join(terms, "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
     seen = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))
     weight = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    scored = hits.join(seen.select("term", weight.alias("idf"), "mean"), "term").join(size, "doc_id")
+    scored = hits.join(seen.select("term", weight.alias("idf"), "mean"), "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     each = asked.join(scored.select("term", "doc_id", part.alias("part")), "term").groupBy("q_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
     rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "doc_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance, summed in doubles."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
 def of_width(vectors: DataFrame, width: int) -> DataFrame:
     """vectors, or an error on one of another width."""
     return vectors.withColumn("vector", F.when(F.size("vector") == width, F.col("vector")).otherwise(F.raise_error(F.concat(F.lit(f"vector must have {width} numbers, has "), F.size("vector").cast("string")))))
 
 
+def matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(rows, -1)
+
+
+def nearest(probes: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probe, row of x, distance): the k rows of x nearest to each probe by squared Euclidean distance, rounded to six
+    places, then id. A product of matrices finds the distances."""
+    far = np.maximum((probes * probes).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * probes @ x.T, 0).round(6)
+    limit = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
+    of, at = np.nonzero(far <= limit[:, None])
+    order = np.lexsort((ids[at], far[of, at], of))
+    of, at = of[order], at[order]
+    good = np.arange(len(of)) - np.searchsorted(of, of) < k
+    return of[good], at[good], far[of[good], at[good]]
+
+
 def knn(probes: DataFrame, vectors: DataFrame, k: int, family: bool = False) -> DataFrame:
     """(q_id, id, family, distance, rank): the k nearest vectors (id, family, vector) of each probe
-    (q_id, probe), within each family if asked. The probes meet every vector, in blocks of both where they
-    are too many to broadcast; only the k best of a block are shuffled, since ranks are limited before the exchange."""
-    by = ["q_id", "family"] if family else ["q_id"]
-    near = vectors.crossJoin(probes).select("q_id", "id", "family", F.round(distance(F.col("vector"), F.col("probe")), 6).alias("distance"))
+    (q_id, probe), within each family if asked. Probes go out in blocks of about PROBES; each batch of vectors yields
+    its own k best for every probe, so only those are shuffled. Rows without a vector are left out."""
+    by, out = ["q_id", "family"] if family else ["q_id"], None
+    known = probes.where("probe IS NOT NULL").select(F.col("q_id").cast("bigint"), "probe")
+    rows = vectors.where("vector IS NOT NULL").select(F.col("id").cast("bigint"), "family", "vector")
+    n = -(-known.count() // PROBES) or 1
+    for block in range(n):
+        got = known.where(F.pmod(F.xxhash64("q_id"), F.lit(n)) == block).toArrow()
+        if not got.num_rows:
+            continue
+        shared = vectors.sparkSession.sparkContext.broadcast((got["q_id"].to_numpy(), matrix(got["probe"].combine_chunks(), got.num_rows)))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            q_id, own = shared.value
+            step = max(1, CELLS // len(q_id))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    ids, x = part.column(0).to_numpy(), matrix(part.column(2), part.num_rows)
+                    kind = part.column(1).dictionary_encode() if family else None
+                    groups = [np.arange(part.num_rows)] if kind is None else [np.flatnonzero(kind.indices.to_numpy(zero_copy_only=False) == f) for f in range(len(kind.dictionary))]
+                    for rows in groups:
+                        of, near, far = nearest(own, x[rows], ids[rows], k)
+                        near = rows[near]
+                        yield pa.RecordBatch.from_arrays([pa.array(q_id[of]), pa.array(ids[near]), part.column(1).take(pa.array(near)), pa.array(far)], ["q_id", "id", "family", "distance"])
+
+        one = rows.mapInArrow(search, "q_id bigint, id bigint, family string, distance double")
+        out = one if out is None else out.unionAll(one)
+    if out is None:
+        out = rows.crossJoin(known.limit(0)).select("q_id", "id", "family", F.lit(0.0).alias("distance"))
     rank = F.row_number().over(W.partitionBy(*by).orderBy("distance", "id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def knn_all_families(probes: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

@@ -10,17 +10,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.search import distance, tokens
+from tidemark.operators import search
+from tidemark.operators.search import tokens
 
 
 def embedded(texts: DataFrame, width: int = 64) -> DataFrame:
-    """texts (id, text) with `vector`: a stand-in for a model: words hashed to signed places, the sum of
-    length 1. Equal texts have equal vectors; a text without words has the zero vector. Built-ins only."""
-    code = F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w))
-    place = lambda k: F.aggregate(F.filter(F.col("code"), lambda c: F.pmod(c, F.lit(width)) == k), F.lit(0.0), lambda a, c: a + F.when(F.shiftright(c, 62).bitwiseAND(1) == 0, 1.0).otherwise(-1.0))
-    raw = texts.withColumn("code", code).withColumn("vector", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), place))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    return raw.withColumn("norm", norm).withColumn("vector", F.transform("vector", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0).cast("float"))).drop("code", "norm")
+    """texts (id, text) as (id, vector): a stand-in for a model: words hashed to signed places, the sum of
+    length 1. Equal texts have equal vectors; a text without words has the zero vector; texts of one id are one. A
+    text's words are summed by place where they are, so at most `width` rows of it are shuffled."""
+    words = texts.select("id", F.explode_outer(tokens(F.col("text"))).alias("word")).withColumn("code", F.xxhash64("word"))
+    sign = F.when(F.col("word").isNull(), 0.0).when(F.shiftright("code", 62).bitwiseAND(1) == 0, 1.0).otherwise(-1.0)
+    sums = words.groupBy("id", F.pmod("code", F.lit(width)).alias("place")).agg(F.sum(sign).alias("x"))
+    each = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("at"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    value = lambda k: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("at", k), F.lit(0.0)) / F.col("norm")).otherwise(0.0).cast("float")
+    return each.select("id", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), value).alias("vector"))
+
+
+def inserted(vectors: DataFrame, path: str, width: int) -> None:
+    """Adds vectors (id, family, vector) to the store at a path, a folder for each family; one of another width is an error."""
+    search.of_width(vectors, width).write.mode("append").partitionBy("family").parquet(path)
+
+
+def fragments(store: DataFrame) -> DataFrame:
+    """(family, fragments, n): data files and rows of each family of a store as it was read."""
+    return store.select("family", F.input_file_name().alias("file")).groupBy("family").agg(F.countDistinct("file").alias("fragments"), F.count(F.lit(1)).alias("n"))
 
 
 def stale(families: DataFrame, meta: DataFrame, model_id: str) -> DataFrame:
@@ -45,8 +58,8 @@ def cells(vectors: DataFrame, n: int, sample: int = 20_000, rounds: int = 10, se
 
 
 def nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
-    d = (centres * centres).sum(axis=1) - 2 * x @ centres.T
-    return np.argsort(d, axis=1, kind="stable")[:, :k]
+    far = (centres * centres).sum(axis=1) - 2 * x @ centres.T
+    return np.argsort(far, axis=1, kind="stable")[:, :k]
 
 
 def assigned(vectors: DataFrame, centres: np.ndarray, k: int, column: str = "vector") -> DataFrame:
@@ -67,12 +80,22 @@ def assigned(vectors: DataFrame, centres: np.ndarray, k: int, column: str = "vec
     return vectors.mapInArrow(assign, f"{fields}, cell int")
 
 
-def ivf_search(probes: DataFrame, vectors: DataFrame, k: int, centres: np.ndarray, visits: int, salt: int = 8) -> DataFrame:
-    """(q_id, id, distance, rank): the k nearest vectors (id, vector) of each probe (q_id, probe) among the cells nearest to
-    it. Every vector is indexed. Cells are salted, so that a crowded one is spread over `salt` tasks; each
-    yields its k best, then the best of those win."""
-    indexed = assigned(vectors.select("id", "vector"), centres, 1).withColumn("salt", F.pmod(F.hash("id"), F.lit(salt)))
-    asked = assigned(probes.select("q_id", "probe"), centres, visits, "probe").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    near = asked.join(indexed, ["cell", "salt"]).select("q_id", "id", "salt", F.round(distance(F.col("vector"), F.col("probe")), 6).alias("distance"))
-    rank = F.row_number().over(W.partitionBy("q_id").orderBy("distance", "id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("q_id", "id", "distance", "rank")
+def ivf_search(probes: DataFrame, vectors: DataFrame, k: int, centres: np.ndarray, visits: int, copies: int = 2, salt: int = 8) -> DataFrame:
+    """(q_id, id, distance, rank): the k nearest vectors (id, vector) of each probe (q_id, probe) among the `visits` cells nearest
+    to it. Every vector is indexed, in the `copies` cells nearest to it. Cells are salted, so that a crowded one is spread
+    over `salt` tasks; each yields its k best, then the best of those win."""
+    indexed = assigned(vectors.select(F.col("id").cast("bigint"), "vector"), centres, copies).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
+    asked = assigned(probes.select(F.col("q_id").cast("bigint"), "probe"), centres, visits, "probe").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+
+    def visit(ask: pa.Table, own: pa.Table) -> pa.Table:
+        of = near = far = np.empty(0, np.int64)
+        if ask.num_rows and own.num_rows:
+            q, ids = ask["q_id"].to_numpy(), own["id"].to_numpy()
+            of, near, far = search.nearest(search.matrix(ask["probe"].combine_chunks(), len(q)), search.matrix(own["vector"].combine_chunks(), len(ids)), ids, k)
+            of, near = q[of], ids[near]
+        return pa.table({"q_id": pa.array(of, pa.int64()), "id": pa.array(near, pa.int64()), "distance": pa.array(far, pa.float64())})
+
+    near = asked.groupBy("cell", "salt").cogroup(indexed.groupBy("cell", "salt")).applyInArrow(visit, "q_id bigint, id bigint, distance double")
+    order = W.partitionBy("q_id").orderBy("distance", "id")
+    few = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= copies * k).select("q_id", "id", "distance").distinct()
+    return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -215,7 +215,7 @@ def _(spark, sf_dir):
     return chunks(spark, sf_dir).groupBy(adapters.family(F.col("domain")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("adp11_external_documents", "WITH d AS (SELECT page_id // 3 AS doc_id, CASE WHEN page_id % 4 = 0 THEN '' ELSE url END AS url, substring(html, 1, 40) AS text, page_id AS t_ns FROM pages) SELECT doc_id, CASE WHEN url = '' THEN text ELSE url || chr(10) || text END AS text, 1::BIGINT AS taint, t_ns FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY t_ns DESC) = 1")
+@query("adp11_external_documents", "WITH d AS (SELECT page_id // 3 AS doc_id, CASE WHEN page_id % 4 = 0 THEN '' ELSE url END AS url, html AS text, page_id AS t_ns FROM pages) SELECT doc_id, CASE WHEN url = '' THEN text ELSE url || chr(10) || text END AS text, 1::BIGINT AS taint, t_ns FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY t_ns DESC) = 1")
 def _(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     d = p.select(F.floor(F.col("page_id") / 3).alias("doc_id"), F.when(F.col("page_id") % 4 == 0, "").otherwise(F.col("url")).alias("url"), F.col("html").alias("text"), F.col("page_id").alias("t_ns"))

@@ -275,7 +275,7 @@ def _(spark, sf_dir):
     return chunks(spark, sf_dir).select("doc_id", priv.escalates(F.col("taint")).alias("escalates"))
 
 
-@query("tnt03_wrapped", f"WITH {CHUNK_SQL} SELECT doc_id, CASE WHEN taint & 1 = 1 THEN '<untrusted_external_doc taint=\"true\">' || replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</untrusted_external_doc>' ELSE left(text, 200) END AS text FROM chunks")
+@query("tnt03_wrapped", f"WITH {CHUNK_SQL} SELECT doc_id, CASE WHEN taint & 1 = 1 THEN '<untrusted_external_doc taint=\"true\">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</untrusted_external_doc>' ELSE text END AS text FROM chunks")
 def _(spark, sf_dir):
     return chunks(spark, sf_dir).select("doc_id", priv.wrapped(F.col("text"), F.col("taint")).alias("text"))
 

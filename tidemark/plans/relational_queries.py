@@ -72,25 +72,25 @@ def _(spark, sf_dir):
     return edges(spark, sf_dir).where(rel.prunable(NOW_NS)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-SNAP = """, probe AS (SELECT seq AS probe_id, t_ns + {shift}::BIGINT AS t_ns FROM tel WHERE seq % {every} = 0), near AS (
+SNAP = """, probe AS (SELECT seq AS probe_id, t_ns + {shift}::BIGINT AS t_ns FROM tel), near AS (
   SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY NOT (t_ns BETWEEN t_start_ns AND t_end_ns), least(abs(t_start_ns - t_ns), abs(t_end_ns - t_ns)), t_start_ns, id) AS k
   FROM probe JOIN focus ON t_end_ns >= t_ns - {w}::BIGINT AND t_start_ns <= t_ns + {w}::BIGINT)
   SELECT probe_id, p.t_ns, n.id, app_id, title, t_start_ns, t_end_ns FROM probe p LEFT JOIN (SELECT * EXCLUDE (t_ns) FROM near WHERE k = 1) n USING (probe_id)"""
 
 
-def snap(spark, sf_dir, every, shift, around):
-    p = telemetry(spark, sf_dir).where(F.col("seq") % every == 0).select(F.col("seq").alias("probe_id"), (F.col("t_ns") + shift).alias("t_ns"))
+def snap(spark, sf_dir, shift, around):
+    p = telemetry(spark, sf_dir).select(F.col("seq").alias("probe_id"), (F.col("t_ns") + shift).alias("t_ns"))
     return rel.snapped(p, focus_history(spark, sf_dir), around).select("probe_id", "t_ns", "id", "app_id", "title", "t_start_ns", "t_end_ns")
 
 
-@query("rel08_focus_snap", f"WITH {FOCUS_SQL}" + SNAP.format(every=10, shift=0, w=HOUR_NS))
+@query("rel08_focus_snap", f"WITH {FOCUS_SQL}" + SNAP.format(shift=0, w=HOUR_NS))
 def _(spark, sf_dir):
-    return snap(spark, sf_dir, 10, 0, HOUR_NS)
+    return snap(spark, sf_dir, 0, HOUR_NS)
 
 
-@query("rel09_batched_snap", f"WITH {FOCUS_SQL}" + SNAP.format(every=1, shift=7_000_000_000, w=6 * HOUR_NS))
+@query("rel09_batched_snap", f"WITH {FOCUS_SQL}" + SNAP.format(shift=7_000_000_000, w=6 * HOUR_NS))
 def _(spark, sf_dir):
-    return snap(spark, sf_dir, 1, 7_000_000_000, 6 * HOUR_NS)
+    return snap(spark, sf_dir, 7_000_000_000, 6 * HOUR_NS)
 
 
 WINDOWS = "SELECT app_id, title, min(t_start_ns) AS first_ns, max(t_end_ns) AS last_ns, sum(dwell_ms)::BIGINT AS dwell_ms FROM focus WHERE {0} title <> '' GROUP BY app_id, title"

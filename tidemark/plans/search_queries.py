@@ -15,9 +15,9 @@ from tidemark.operators import vectors as ann
 from tidemark.operators.adapters import family
 from tidemark.plans.ingest_queries import FOCUS_SQL, focus_history
 from tidemark.plans.registry import query
-from tidemark.sources.tables import CHUNK_SQL, chunks, table
+from tidemark.sources.storage import scratch, stored
+from tidemark.sources.tables import CHUNK_SQL, chunks, domain, table
 
-ASKED = 10
 FIXED = (
     "What did I do before Reading Emails?", "What was on screen after the standup?!", "how did I spend my time on the project", "What was the last thing I watched on YouTube?",
     "Which J.A.R.V.I.S videos played in r/rust and U.S.A. today", "what", "Installing boxes passed watches es sing", "After lunch", "Did I watch Netflix with Ana", "x before . ",
@@ -75,9 +75,9 @@ def _(spark, sf_dir):
     return w.select("term", T.stem(F.col("term")).alias("stem"))
 
 
-@query("txt04_terms_matched", f"WITH {QUESTION_SQL}, {CHUNK_SQL} SELECT q_id, doc_id, {matched_sql(terms_sql('question'), 'text')} AS matched FROM question JOIN chunks ON doc_id % 50 = abs(q_id) % 50")
+@query("txt04_terms_matched", f"WITH {QUESTION_SQL}, {CHUNK_SQL} SELECT q_id, doc_id, {matched_sql(terms_sql('question'), 'text')} AS matched FROM question, chunks WHERE q_id >= 0 AND q_id % 20 = 0")
 def _(spark, sf_dir):
-    return search.matched(questions(spark, sf_dir), chunks(spark, sf_dir))
+    return search.matched(asked(spark, sf_dir), chunks(spark, sf_dir))
 
 
 POSTING_SQL = f"""toks AS (SELECT doc_id, list_concat({words_sql('lower(text)')}, {words_sql('lower(' + aliases_sql('text') + ')')}) AS t FROM chunks),
@@ -97,7 +97,7 @@ def asked(spark, sf_dir):
     return questions(spark, sf_dir).where("q_id >= 0 AND q_id % 20 = 0")
 
 
-ASKED_SQL = f"q_id >= 0 AND q_id < {ASKED}"
+ASKED_SQL = "q_id >= 0 AND q_id % 20 = 0"
 
 
 @query("txt05_bm25", f"WITH {bm25_sql(ASKED_SQL, 20)} SELECT q_id, doc_id, score, rank FROM kw")
@@ -144,14 +144,14 @@ def _(spark, sf_dir):
     q = questions(spark, sf_dir).select("q_id", T.proper_nouns(F.col("question")).alias("nouns"))
     nouns = q.select(F.explode("nouns").alias("noun")).distinct()
     media = chunks(spark, sf_dir).where("domain = 'media_playback'").select(F.lower("text").alias("text"))
-    hit = media.join(F.broadcast(nouns), F.contains("text", "noun")).groupBy("noun").agg(F.lit(True).alias("hit"))
+    hit = media.join(nouns, F.contains("text", "noun")).groupBy("noun").agg(F.lit(True).alias("hit"))
     each = q.select("q_id", F.explode_outer("nouns").alias("noun")).join(hit, "noun", "left")
     return each.groupBy("q_id").agg(F.bool_and(F.col("noun").isNull() | F.coalesce("hit", F.lit(False))).alias("known"))
 
 
-MEDIA_ROW = "mrow AS (SELECT doc_id AS m_id, substring(text, 1, 60) AS text, t_ns FROM chunks WHERE domain = 'media_playback' AND doc_id < 100)"
+MEDIA_ROW = "mrow AS (SELECT doc_id AS m_id, text, t_ns FROM chunks WHERE domain = 'media_playback')"
 MWORD_SQL = f"list_filter({words_sql('lower(question)')}, lambda w: strlen(w) > 2 AND NOT list_contains({quoted(T.GENERIC_WORDS)}, w))"
-TOPIC_SQL = f"""hits AS (SELECT q_id, m_id, text, len(list_filter({MWORD_SQL}, lambda w: contains(lower(text), w))) > 0 AS hit FROM question, mrow),
+TOPIC_SQL = f"""hits AS (SELECT q_id, m_id, text, len(list_filter({MWORD_SQL}, lambda w: contains(lower(text), w))) > 0 AS hit FROM question, mrow WHERE q_id >= 0 AND q_id % 20 = 0),
   topic AS (SELECT q_id, m_id, text FROM hits QUALIFY hit OR NOT bool_or(hit) OVER (PARTITION BY q_id))"""
 
 
@@ -161,7 +161,7 @@ def media_rows(spark, sf_dir):
 
 @query("txt11_relevant_media", f"WITH {QUESTION_SQL}, {CHUNK_SQL}, {MEDIA_ROW}, {TOPIC_SQL} SELECT * FROM topic")
 def _(spark, sf_dir):
-    return search.on_topic(questions(spark, sf_dir), media_rows(spark, sf_dir))
+    return search.on_topic(asked(spark, sf_dir), media_rows(spark, sf_dir))
 
 
 @query("txt12_minutes", f"WITH {FOCUS_SQL} SELECT id, (dwell_ms + 30000) // 60000 AS minutes FROM focus")
@@ -193,14 +193,21 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.text_type(kind).alias("is_text"))
 
 
-VECTOR_SQL = f"""{CHUNK_SQL}, vec AS (SELECT vec_id AS id, CASE WHEN domain = 'window_focus' THEN 'attention' WHEN domain = 'git_activity' THEN 'work' WHEN domain = 'notes' THEN 'knowledge' WHEN domain = 'media_playback' THEN 'system' ELSE 'external' END AS family, embedding AS vector
-  FROM embeddings JOIN chunks ON doc_id = vec_id), probe AS (SELECT vec_id AS q_id, embedding AS probe FROM embeddings WHERE vec_id < {ASKED}),
+PROBED = "vec_id % 20 = 0"
+FAMILY = "CASE WHEN domain = 'window_focus' THEN 'attention' WHEN domain = 'git_activity' THEN 'work' WHEN domain = 'notes' THEN 'knowledge' WHEN domain = 'media_playback' THEN 'system' ELSE 'external' END"
+
+
+def vector_sql(probed: str, join: str) -> str:
+    return f"""{CHUNK_SQL}, vec AS (SELECT vec_id AS id, {FAMILY} AS family, embedding AS vector FROM embeddings {join} chunks ON doc_id = vec_id), probe AS (SELECT vec_id AS q_id, embedding AS probe FROM embeddings WHERE {probed}),
   dist AS (SELECT q_id, id, family, round(list_sum(list_transform(list_zip(vector, probe), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS distance FROM vec, probe)"""
 
 
+VECTOR_SQL = vector_sql(PROBED, "LEFT JOIN")
+
+
 def vectors(spark, sf_dir):
     """All vectors (id, vector, family); one without a chunk is of the family of unknown domains."""
-    c = chunks(spark, sf_dir).select(F.col("doc_id").alias("id"), "domain")
+    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), domain(F.col("doc_id")).alias("domain"))
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return v.join(c, "id", "left").select("id", "vector", family(F.col("domain")).alias("family"))
 
@@ -224,16 +231,25 @@ def _(spark, sf_dir):
     return search.knn_all_families(probe_set(spark, sf_dir), vectors(spark, sf_dir), 20)
 
 
+@query("snk03_vector_inserts", f"WITH {VECTOR_SQL} SELECT family, count(*) AS n, round(sum(vector[1]), 4) AS x FROM vec GROUP BY family")
+def _(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    at = scratch(spark)
+    for part in (v.where("id % 2 = 0"), v.where("id % 2 = 1")):
+        ann.inserted(part, at, 64)
+    return spark.read.parquet(at).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("vector")[0].cast("double")), 4).alias("x"))
+
+
 @query("vec06_family_scan", f"WITH {VECTOR_SQL} SELECT family, count(*) AS n, min(id) AS first_id FROM vec GROUP BY family")
 def _(spark, sf_dir):
     return vectors(spark, sf_dir).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
-@query("vec07_vector_update", f"WITH {VECTOR_SQL} SELECT id, round(CASE WHEN id % 3 = 0 THEN -1 ELSE 1 END * vector[1]::DOUBLE, 6) AS x FROM vec")
+@query("vec07_vector_update", f"WITH {VECTOR_SQL} SELECT id, round(CASE WHEN id % 3 = 0 THEN -1 ELSE 1 END * list_sum(list_transform(vector, lambda x, i: x::DOUBLE * i)), 5) AS x FROM vec")
 def _(spark, sf_dir):
     v = vectors(spark, sf_dir).select("id", "vector")
     new = v.where("id % 3 = 0").select("id", F.transform("vector", lambda x: -x).alias("vector"))
-    return v.alias("o").join(new.alias("n"), "id", "left").select("id", F.round(F.get(F.coalesce("n.vector", "o.vector"), F.lit(0)).cast("double"), 6).alias("x"))
+    return v.alias("o").join(new.alias("n"), "id", "left").select("id", F.round(F.aggregate(F.transform(F.coalesce("n.vector", "o.vector"), lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x), 5).alias("x"))
 
 
 @query("vec09_predicate_delete", f"WITH {VECTOR_SQL} SELECT id, family FROM vec WHERE NOT (family = 'system' OR id % 10 = 3)")
@@ -241,8 +257,9 @@ def _(spark, sf_dir):
     return vectors(spark, sf_dir).where(~((F.col("family") == "system") | (F.col("id") % 10 == 3))).select("id", "family")
 
 
-FUSE_SQL = f"""{VECTOR_SQL}, {bm25_sql(ASKED_SQL, 80).removeprefix(CHUNK_SQL + ', ')},
-  short AS (SELECT doc_id, substring(text, 1, 40) AS text, chunk_id, taint, t_ns, domain FROM chunks),
+def fuse_sql(asked: str = ASKED_SQL, probed: str = PROBED) -> str:
+    return f"""{vector_sql(probed, 'JOIN')}, {bm25_sql(asked, 80).removeprefix(CHUNK_SQL + ', ')},
+  short AS (SELECT doc_id, text, chunk_id, taint, t_ns, domain FROM chunks),
   dense AS (SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY distance, id) AS rank, distance, s.* FROM dist JOIN short s ON s.doc_id = id QUALIFY rank <= 80),
   words AS (SELECT q_id, rank, s.* FROM kw JOIN short s USING (doc_id)),
   d AS (SELECT q_id, text, min(rank) AS d_rank, bit_or(taint) AS d_taint, arg_min(struct_pack(chunk_id, t_ns, domain, distance), rank) AS d FROM dense GROUP BY q_id, text),
@@ -253,6 +270,9 @@ FUSE_SQL = f"""{VECTOR_SQL}, {bm25_sql(ASKED_SQL, 80).removeprefix(CHUNK_SQL + '
   fuse AS (SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY rrf DESC, d_rank NULLS LAST, w_rank) AS rank, text, c.chunk_id AS chunk_id, c.t_ns AS t_ns, c.domain AS domain, c.distance AS distance, taint, keyword_score, rrf FROM f QUALIFY rank <= 20)"""
 
 
+FUSE_SQL = fuse_sql()
+
+
 def hybrid(spark, sf_dir, q=None):
     """Fused hits of questions, the stated set unless given; hits have a text, so only vectors of chunks are ranked."""
     c, q = chunks(spark, sf_dir), asked(spark, sf_dir) if q is None else q
@@ -274,10 +294,14 @@ def _(spark, sf_dir):
     return hybrid(spark, sf_dir).where("rank <= 5").select("q_id", "rank", "chunk_id", "rrf")
 
 
-EVIDENCE_SQL = f"""{FUSE_SQL}, good AS (SELECT * EXCLUDE (rank), rank AS r0 FROM fuse WHERE distance <= 0.775 OR keyword_score > 1),
+def evidence_sql(fuse: str) -> str:
+    return f"""{fuse}, good AS (SELECT * EXCLUDE (rank), rank AS r0 FROM fuse WHERE distance <= 0.775 OR keyword_score > 1),
   evid AS (SELECT * EXCLUDE (r0), row_number() OVER (PARTITION BY q_id ORDER BY r0) AS rank FROM (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY q_id, text ORDER BY r0) = 1) QUALIFY rank <= 5)"""
 
 
+EVIDENCE_SQL = evidence_sql(FUSE_SQL)
+
+
 @query("hyb02_evidence", f"WITH {EVIDENCE_SQL} SELECT q_id, rank, text, distance, keyword_score, taint FROM evid")
 def _(spark, sf_dir):
     return search.evidence(hybrid(spark, sf_dir)).select("q_id", "rank", "text", "distance", "keyword_score", "taint")
@@ -304,7 +328,7 @@ def _(spark, sf_dir):
     return e.select("q_id", "text", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("t_ns"), "rank")).alias("place"))
 
 
-WITH_MEDIA_SQL = f"""{EVIDENCE_SQL}, {MEDIA_ROW}, {TOPIC_SQL}, new AS (SELECT * FROM topic t WHERE {ASKED_SQL} AND NOT EXISTS (SELECT 1 FROM evid e WHERE e.q_id = t.q_id AND e.text = t.text)),
+WITH_MEDIA_SQL = f"""{EVIDENCE_SQL}, {MEDIA_ROW}, {TOPIC_SQL}, new AS (SELECT * FROM topic t WHERE NOT EXISTS (SELECT 1 FROM evid e WHERE e.q_id = t.q_id AND e.text = t.text)),
   allm AS (SELECT q_id, text, part = 1 AS media, row_number() OVER (PARTITION BY q_id ORDER BY part, pos) AS rank FROM (SELECT q_id, 0 AS part, rank AS pos, text FROM evid UNION ALL SELECT q_id, 1, m_id, text FROM new) QUALIFY rank <= 8)"""
 
 
@@ -375,7 +399,7 @@ def _(spark, sf_dir):
     return deictic_inputs(spark, sf_dir).select("doc_id", search.prompt("Answer.", F.left(F.col("t"), F.lit(20)), search.deictic(F.col("a"), F.col("t"), F.col("q"))).alias("prompt"))
 
 
-@query("prm05_declined", f"WITH {EVIDENCE_SQL} SELECT q.q_id, count(e.rank) = 0 AND q.q_id % 3 = 0 AS declined FROM question q LEFT JOIN evid e USING (q_id) GROUP BY q.q_id")
+@query("prm05_declined", f"WITH {evidence_sql(fuse_sql('q_id % 3 = 0', 'vec_id % 3 = 0'))} SELECT q.q_id, count(e.rank) = 0 AND q.q_id % 3 = 0 AS declined FROM question q LEFT JOIN evid e USING (q_id) GROUP BY q.q_id")
 def _(spark, sf_dir):
     judged = questions(spark, sf_dir).where("q_id % 3 = 0")  # the others are never declined
     n = search.evidence(hybrid(spark, sf_dir, judged)).groupBy("q_id").agg(F.count(F.lit(1)).alias("n"))
@@ -403,7 +427,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked_ = v.where("id % 20 = 0").select(F.col("id").alias("q_id"), F.col("vector").alias("probe"))
-    return ann.ivf_search(asked_, v, 10, ann.cells(v, 32), 24)
+    return ann.ivf_search(asked_, v, 10, ann.cells(v, 128), 36)
 
 
 @query("vec01_embedded_chunks")
@@ -418,10 +442,10 @@ def _(spark, sf_dir):
     return ann.stale(f.select("family"), meta, "new")
 
 
-@query("vec13_fragments", "SELECT count(*) AS rows FROM documents")
+@query("vec13_fragments", f"WITH {VECTOR_SQL} SELECT family, count(DISTINCT id // 100) AS fragments, count(*) AS n FROM vec GROUP BY family")
 def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
-    return d.agg(F.sum("n").alias("rows"))
+    v = vectors(spark, sf_dir).select("id", "family", F.floor(F.col("id") / 100).alias("batch"))  # each hundred is an insert of its own
+    return ann.fragments(stored(v.repartition("family", "batch"), "family", "batch"))
 
 
 @query("gen04_common_prefix", "WITH t AS (SELECT item_id AS seq, string_split(lower(text), ' ') AS tokens FROM benchmark), p AS (SELECT *, lag(tokens) OVER (ORDER BY seq) AS prev FROM t) SELECT seq, CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(range(1, len(tokens) + 1), lambda k: list_slice(tokens, 1, k) = list_slice(prev, 1, k) AND k <= len(prev))) END AS shared FROM p")

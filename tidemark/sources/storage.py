@@ -15,23 +15,32 @@ COMPLETE = "_COMPLETE"
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests, a single machine), a folder of our own."""
+    """spark.checkpoint.dir; where that is unset, a folder of our own in local mode and an error on a cluster, whose
+    executors would not share it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once as Parquet and read back: cuts the lineage and gives true sizes to the
-    planner. The files go when the application ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
     path = f"{folder(spark)}/tidemark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     fs, at = file_system(spark, path)
+    fs.mkdirs(at)
     fs.deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{path}/data"
+
+
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """df written once as Parquet, in a folder for each value of `by`, and read back: cuts the lineage and gives true sizes to
+    the planner."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def file_system(spark: SparkSession, path: str):

@@ -95,7 +95,7 @@ def media_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), ((F.col("conv_id") * 1000 + F.col("turn")) * 60 * NS).alias("t_ns"),
         pick("org.mpris.MediaPlayer2.brave.instance1", "org.mpris.MediaPlayer2.vlc", "spotify", by=F.col("conv_id") % 3).alias("player"),
         F.when(F.col("role") == "user", "Playing").otherwise("Paused").alias("status"),
-        F.when(F.col("turn") % 5 == 4, "").otherwise(F.substring("text", 1, 8)).alias("title"),
+        F.when(F.col("turn") % 5 == 4, "").otherwise(F.col("text")).alias("title"),
         pick("", "Some Band", "A Channel", by=(F.col("conv_id") + F.col("turn")) % 3).alias("artist"),
     )
 
@@ -104,7 +104,7 @@ MEDIA_SQL = """media AS (
   SELECT conv_id * 1000 + turn AS seq, (conv_id * 1000 + turn) * 60 * 1000000000::BIGINT AS t_ns,
     (['org.mpris.MediaPlayer2.brave.instance1', 'org.mpris.MediaPlayer2.vlc', 'spotify'])[conv_id % 3 + 1] AS player,
     CASE WHEN role = 'user' THEN 'Playing' ELSE 'Paused' END AS status,
-    CASE WHEN turn % 5 = 4 THEN '' ELSE substring(text, 1, 8) END AS title,
+    CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS title,
     (['', 'Some Band', 'A Channel'])[(conv_id + turn) % 3 + 1] AS artist
   FROM conversations)"""
 
@@ -124,15 +124,19 @@ RESOURCE_SQL = """res AS (
 DOMAINS = ("window_focus", "notes", "git_activity", "media_playback", "external_documents")
 
 
+def domain(doc_id: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, DOMAINS)), (doc_id % 5 + 1).cast("int"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text chunks (chunk_id, entity_id, text, domain, taint, t_ns) from documents and labels."""
     d, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    domain = F.element_at(F.array(*map(F.lit, DOMAINS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    of = domain(F.col("doc_id"))
     taint = F.coalesce(F.col("toxic"), F.lit(0)) + F.when(F.col("quality") == 0, 4).otherwise(0)
     t_ns = (F.col("doc_id") * 37 % 5000) * 60 * NS
     return d.join(known, "doc_id", "left").select(
-        F.concat_ws("-", domain, (F.col("doc_id") % 200).cast("string"), t_ns.cast("string")).alias("chunk_id"), "doc_id", (F.col("doc_id") % 200).alias("entity_id"),
-        F.coalesce("text", F.lit("")).alias("text"), domain.alias("domain"), taint.cast("long").alias("taint"), t_ns.alias("t_ns"),
+        F.concat_ws("-", of, (F.col("doc_id") % 200).cast("string"), t_ns.cast("string")).alias("chunk_id"), "doc_id", (F.col("doc_id") % 200).alias("entity_id"),
+        F.coalesce("text", F.lit("")).alias("text"), of.alias("domain"), taint.cast("long").alias("taint"), t_ns.alias("t_ns"),
     )
 
 
@@ -149,10 +153,9 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     an entity of their segment, seen from the first to the last order."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     seen = o.groupBy("o_custkey").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
-    domain = F.element_at(F.array(*map(F.lit, DOMAINS)), (F.col("c_custkey") % 5 + 1).cast("int"))
     ns = lambda c: F.unix_micros(F.col(c).cast("timestamp")) * 1000
     return seen.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("c_custkey").alias("id"), domain.alias("domain"), F.lower("c_mktsegment").alias("kind"),
+        F.col("c_custkey").alias("id"), domain(F.col("c_custkey")).alias("domain"), F.lower("c_mktsegment").alias("kind"),
         F.concat_ws(" ", F.lit("label"), (F.floor(F.col("c_custkey") / 2)).cast("string")).alias("label"), (F.col("c_custkey") % 4).alias("taint"),
         ns("a").alias("created_ns"), ns("b").alias("last_seen_ns"), (F.col("c_custkey") % 6 == 0).alias("permanent"),
     )
