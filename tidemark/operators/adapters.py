@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ingest import cooled, root_comm
 
-#: Fixed values.
+#: Fixed values, these and those below.
 FAMILIES = {
     "window_focus": "attention", "app_lifecycle": "attention", "idle_presence": "attention", "process_activity": "work", "build_job": "work", "git_activity": "work",
     "notes": "knowledge", "calendar": "knowledge", "media_playback": "system", "system_resource": "system",
@@ -38,6 +38,24 @@ def counters(events: DataFrame, key: Column, domain: str) -> DataFrame:
     return rows.groupBy("domain", "key").agg(F.count(F.lit(1)).alias("count"), F.min_by("t_ns", "seq").alias("first_ns"), F.max_by("t_ns", "seq").alias("last_ns"))
 
 
+def dispatched(events: DataFrame) -> DataFrame:
+    """Counters (domain, key, count, first_ns, last_ns) of events (payload, seq, t_ns, and the columns of each payload): windows that
+    open by application, idle changes by state, samples by themselves and their bands, media by title, files by path in the domain of
+    their label. Each payload goes to its own rule; other payloads to none."""
+    label = mapped(F.col("watch_label"), LABELS)
+    one = lambda domain, *keys: F.struct(domain.alias("domain"), F.array(*keys).alias("keys"))
+    bands = [F.lit("sample"), F.concat(F.lit("cpu:"), cpu_band(F.col("cpu"))), F.concat(F.lit("mem:"), mem_band(F.col("mem_used"), F.col("mem_total")))]
+    rule = (
+        F.when((F.col("payload") == "window") & (F.col("kind") == "Opened"), one(F.lit("app_lifecycle"), F.col("app_id")))
+        .when(F.col("payload") == "idle", one(F.lit("idle_presence"), F.when(F.col("active"), "active").otherwise("idle")))
+        .when(F.col("payload") == "resource", one(F.lit("system_resource"), *bands))
+        .when((F.col("payload") == "media") & (F.col("title") != ""), one(F.lit("media_playback"), F.col("title")))
+        .when((F.col("payload") == "file") & label.isNotNull() & ~churn(F.col("path")), one(label, F.col("path")))
+    )
+    rows = events.select("seq", "t_ns", rule.alias("r")).where("r IS NOT NULL").select("seq", "t_ns", "r.domain", F.explode("r.keys").alias("key"))
+    return rows.groupBy("domain", "key").agg(F.count(F.lit(1)).alias("count"), F.min_by("t_ns", "seq").alias("first_ns"), F.max_by("t_ns", "seq").alias("last_ns"))
+
+
 def focus_rows(promoted: DataFrame, roots: DataFrame) -> DataFrame:
     """Focus history of promoted touches that end a segment; an unknown pid and its root are 0."""
     done = promoted.where("promoted AND t_end_ns IS NOT NULL").withColumn("pid", F.coalesce("pid", F.lit(0)))

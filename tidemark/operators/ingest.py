@@ -6,6 +6,10 @@ key, so state is as large as one window or one application.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,20 +87,43 @@ def gate_key(kind: Column, app: Column, root: Column, root_known: Column, label:
 
 
 def outcomes(events: DataFrame, own: tuple[str, ...], prefix: str, dwell_ns: int = DWELL_NS) -> DataFrame:
-    """(seq, outcome) of window events: Excluded, NotApplicable, NotYetPromoted or Promoted."""
-    touched = gated(segments(attributed(events, own, prefix)), "app_id", dwell_ns=dwell_ns).select("seq", "promoted")
-    excluded = (F.col("kind") == "Opened") & self_observed(F.col("app_id"), own, prefix)
-    tag = F.when(excluded, "Excluded").when(F.col("promoted"), "Promoted").when(~F.col("promoted"), "NotYetPromoted").otherwise("NotApplicable")
-    return events.join(touched, "seq", "left").select("seq", tag.alias("outcome"))
+    """(payload, seq, outcome) of events of all kinds: the columns of window events, `payload` (window, proc_tree, file, media or
+    another), `key` (watch label of a file, root of a process tree, null if unknown) and `comm`, a root's name. Windows and
+    keys pass the gate; media events are always Demoted; idle times, resource samples and unknown roots are NotApplicable."""
+    windows = events.where("payload = 'window'")
+    touched = gated(segments(attributed(windows, own, prefix)), "app_id", dwell_ns=dwell_ns).select("seq", "promoted")
+    keyed = events.where("payload IN ('file', 'proc_tree') AND key IS NOT NULL").where((F.col("payload") == "file") | ~self_observed(F.coalesce("comm", F.lit("")), own, prefix))
+    none = F.lit(None).cast("long")
+    counted = gated(keyed.select("payload", "seq", F.concat_ws(":", "payload", "key").alias("key"), F.lit(True).alias("occurrence"), none.alias("t_start_ns"), none.alias("t_end_ns")), "key")
+    passed = touched.select(F.lit("window").alias("payload"), "seq", "promoted").unionByName(counted.select("payload", "seq", "promoted"))
+    name = F.when(F.col("payload") == "window", F.when(F.col("kind") == "Opened", F.col("app_id"))).when(F.col("payload") == "proc_tree", F.col("comm"))
+    tag = F.when(F.col("payload") == "media", "Demoted").when(self_observed(name, own, prefix), "Excluded").when(F.col("promoted"), "Promoted").when(~F.col("promoted"), "NotYetPromoted").otherwise("NotApplicable")
+    return events.join(passed, ["payload", "seq"], "left").select("payload", "seq", tag.alias("outcome"))
 
 
 def cooled(rows: DataFrame, text: str, t: str, gap_ns: int = COOLDOWN_NS) -> DataFrame:
-    """(text, t) pairs kept when each is taken only if more than gap_ns after the last one taken: a
-    fold over a text's times in order, since what is kept depends on what was."""
-    times = F.sort_array(F.collect_list(t))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
-    take = lambda a, x: F.when(a["last"].isNull() | (x - a["last"] > gap_ns), F.struct(x.alias("last"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
-    return rows.groupBy(text).agg(F.aggregate(times, start, take)["kept"].alias("kept")).select(text, F.explode("kept").alias(t))
+    """(text, t) pairs kept when each is taken only if more than gap_ns after the last one taken. What is kept depends on
+    what was, so a text's times are read in order; only the last text and time taken are held, so no text is too frequent. A null
+    time is dropped."""
+    times = rows.select(F.col(text), F.col(t).cast("bigint")).where(F.col(t).isNotNull()).distinct().repartition(text).sortWithinPartitions(text, t)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            names, at = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            code = names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            edges = np.append(np.flatnonzero(np.diff(code, prepend=code[:1] - 1)), len(code))
+            kept = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                name = batch.column(0)[a].as_py()
+                k = a + int(np.searchsorted(at[a:b], last[1] + gap_ns, "right")) if last is not None and last[0] == name else a
+                while k < b:
+                    kept.append(k)
+                    last = (name, int(at[k]))
+                    k += int(np.searchsorted(at[k:b], at[k] + gap_ns, "right"))
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return times.mapInArrow(take, times.schema)
 
 
 def evicted(counters: DataFrame, now_ns: int, most: int = TRACKED, ttl_ns: int = TRACKED_TTL_NS) -> DataFrame:

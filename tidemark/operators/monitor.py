@@ -70,11 +70,16 @@ def breaches(scrapes: DataFrame) -> DataFrame:
 
 
 def breach_summary(found: DataFrame) -> DataFrame:
-    line = F.concat("metric", F.lit("="), F.format_string("%.1f", "percent"), F.lit("%"))
+    line = F.concat("metric", F.lit("="), F.round("percent", 1).cast("decimal(38,1)").cast("string"), F.lit("%"))
     order = F.when(F.col("metric") == "rss_growth", 0).otherwise(1)
     return found.groupBy("component", "seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), line.alias("s")))), lambda x: x["s"]), ";").alias("summary"))
 
 
+def append_csv(rows: DataFrame, path: str) -> None:
+    """Adds rows to the CSV files under a path; every file begins with the header."""
+    rows.write.mode("append").option("header", True).csv(path)
+
+
 def sensor_state(reports: DataFrame) -> DataFrame:
     """(component, degraded, errors) of reports (component, sensor, seq, down): a component is degraded while the
     latest report of any of its sensors is down; every such report counts as an error."""
@@ -116,10 +121,23 @@ def compactions(inserts: DataFrame, every: int = 256) -> DataFrame:
     return inserts.withColumn("k", F.row_number().over(W.partitionBy("family").orderBy("seq"))).where(F.col("k") % every == 0)
 
 
-def drained(offers: DataFrame, capacity: int) -> DataFrame:
-    """(batch, kept, dropped) of offers (batch, ...) to a queue of that capacity which is emptied after each batch."""
+def drained(offers: DataFrame, capacity: int, newest: bool) -> DataFrame:
+    """(batch, kept, dropped, edge) of offers (batch, seq) to a buffer of that capacity which is emptied after each batch. A
+    lagging subscriber's buffer keeps the newest and drops what is older than `edge`; a full queue keeps the oldest and
+    refuses what is later than `edge`."""
     n = offers.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("batch", F.least("n", F.lit(capacity)).alias("kept"), F.greatest(F.col("n") - capacity, F.lit(0)).alias("dropped"))
+    order = F.desc("seq") if newest else F.asc("seq")
+    kept = offers.withColumn("k", F.row_number().over(W.partitionBy("batch").orderBy(order))).where(F.col("k") <= capacity)  # limited before the shuffle
+    edge = kept.groupBy("batch").agg((F.min if newest else F.max)("seq").alias("edge"))
+    return n.join(edge, "batch").select("batch", F.least("n", F.lit(capacity)).alias("kept"), F.greatest(F.col("n") - capacity, F.lit(0)).alias("dropped"), "edge")
+
+
+def generation_rates(tokens: DataFrame) -> DataFrame:
+    """(generation, prefill_ms, decode_ms) of tokens (generation, seq, t_ns, start_ns, prompt_tokens): the time to the first token for each
+    token of the prompt, 0 without one, and the mean gap between tokens, 0 if there is but one."""
+    g = tokens.groupBy("generation").agg(F.min_by("t_ns", "seq").alias("first"), F.max_by("t_ns", "seq").alias("last"), F.count(F.lit(1)).alias("n"), F.min("start_ns").alias("start"), F.max("prompt_tokens").alias("prompt"))
+    prefill = F.when(F.col("prompt") > 0, (F.col("first") - F.col("start")) / 1e6 / F.col("prompt")).otherwise(0.0)
+    return g.select("generation", prefill.alias("prefill_ms"), F.when(F.col("n") > 1, (F.col("last") - F.col("first")) / 1e6 / (F.col("n") - 1)).otherwise(0.0).alias("decode_ms"))
 
 
 def reassembled(slots: DataFrame, generation: int | None, cancelled: DataFrame) -> DataFrame:
@@ -133,10 +151,16 @@ def reassembled(slots: DataFrame, generation: int | None, cancelled: DataFrame)
     return kept.groupBy("generation").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).cast("string").alias("text"))
 
 
-def common_prefix(tokens: DataFrame) -> DataFrame:
-    """(seq, shared) of prompts (seq, tokens): leading tokens that are those of the previous prompt."""
-    before = F.lag("tokens").over(W.orderBy("seq"))
+def common_prefix(tokens: DataFrame, run: int = 1 << 16) -> DataFrame:
+    """(seq, shared) of prompts (seq, tokens): leading tokens that are those of the previous prompt. Prompts fall into runs of
+    `run` numbers; a run's first prompt gets the last one of the run before, so one window over all rows sees only a
+    number for each run."""
+    t = tokens.withColumn("run", F.floor(F.col("seq") / run))
+    ends = t.groupBy("run").agg(F.min("seq").alias("seq"), F.max("seq").alias("last"))
+    before = ends.select("seq", F.lag("last").over(W.orderBy("run")).alias("last")).where("last IS NOT NULL")
+    given = before.join(tokens.select(F.col("seq").alias("last"), F.col("tokens").alias("given")), "last").select("seq", "given")
     pairs = F.zip_with(F.col("tokens"), F.col("prev"), lambda x, y: x.eqNullSafe(y) & x.isNotNull())
     broken = F.array_position(pairs, False)
     shared = F.when(F.col("prev").isNull(), 0).otherwise(F.when(broken == 0, F.size(pairs)).otherwise(broken - 1))
-    return tokens.withColumn("prev", before).select("seq", shared.cast("long").alias("shared"))
+    near = t.withColumn("near", F.lag("tokens").over(W.partitionBy("run").orderBy("seq")))
+    return near.join(given, "seq", "left").withColumn("prev", F.coalesce("near", "given")).select("seq", shared.cast("long").alias("shared"))

@@ -48,18 +48,17 @@ def mem_used(total: Column, available: Column, free: Column) -> Column:
     return F.greatest(total - F.coalesce(available, free), F.lit(0))
 
 
-def subtree(processes: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """(root, pid, depth): each root (pid,) and its descendants in processes (pid, ppid), cycles cut: a level is joined
-    to its children until none is new."""
+def subtree(processes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, pid, depth): each root (pid,) and its descendants in processes (pid, ppid), however deep, cycles cut: a level is
+    joined to its children until none is new. What is known is stored every few levels, so that no plan holds all of them."""
     processes = stored(processes.select("pid", "ppid"))
     level = stored(roots.select(F.col("pid").alias("root"), "pid").withColumn("depth", F.lit(0)))
-    out = level
-    for depth in range(1, most + 1):
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
         next_ = level.select("root", F.col("pid").alias("ppid")).join(processes, "ppid").select("root", "pid").distinct()
         level = stored(next_.join(out, ["root", "pid"], "left_anti").withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            break
-        out = out.unionAll(level)
+        out = out.unionAll(level) if depth % 16 else stored(out.unionAll(level))
     return out
 
 

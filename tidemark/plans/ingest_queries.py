@@ -123,19 +123,49 @@ def _(spark, sf_dir):
     return t.groupBy("title", normal_title(F.col("title")).alias("normal")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ing11_outcomes", f"WITH {TOUCH_SQL} SELECT t.seq, CASE WHEN t.kind = 'Opened' AND t.app_id = 'app-9' THEN 'Excluded' WHEN g.promoted THEN 'Promoted' WHEN NOT g.promoted THEN 'NotYetPromoted' ELSE 'NotApplicable' END AS outcome FROM tel t LEFT JOIN gate g USING (seq)")
-def _(spark, sf_dir):
-    return ingest.outcomes(telemetry(spark, sf_dir), OWN, "\x00", GATE_NS)
+def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of all payloads in one table; what a payload has not is null."""
+    t = telemetry(spark, sf_dir).withColumn("payload", F.lit("window"))
+    p = process_trees(spark, sf_dir).select(F.lit("proc_tree").alias("payload"), "seq", "t_ns", F.when(F.col("root_known"), F.col("root_pid").cast("string")).alias("key"), ingest.root_comm(F.col("processes"), F.col("root_pid")).alias("comm"))
+    f = file_events(spark, sf_dir).withColumn("payload", F.lit("file")).withColumn("key", F.col("watch_label"))
+    m = media_events(spark, sf_dir).withColumn("payload", F.lit("media"))
+    i = telemetry(spark, sf_dir).where("kind = 'StateChanged'").select(F.lit("idle").alias("payload"), "seq", "t_ns", "active")
+    r = resource_samples(spark, sf_dir).withColumn("payload", F.lit("resource"))
+    out = t
+    for more in (p, f, m, i, r):
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+KEYED_SQL = """keyed AS (SELECT payload, seq, count(*) OVER (PARTITION BY payload, key ORDER BY seq) >= 3 AS promoted FROM (SELECT 'file' AS payload, seq, watch_label AS key FROM files
+  UNION ALL SELECT 'proc_tree', seq, root_pid::VARCHAR FROM trees WHERE root_known AND comm <> 'app-9' AND NOT starts_with(comm, 'shell-3')))"""
+TREES_SQL = "trees AS (SELECT seq, root_pid, root_known, coalesce(max(CASE WHEN pid = root_pid THEN comm END), '') AS comm FROM proc GROUP BY seq, root_pid, root_known)"
 
 
-@query("adp01_dispatch", f"WITH {TELEMETRY_SQL}, {FILE_SQL}, {MEDIA_SQL} SELECT payload, count(*) AS n FROM (SELECT 'window' AS payload FROM tel UNION ALL SELECT 'file' FROM files UNION ALL SELECT 'media' FROM media) GROUP BY 1")
+@query("ing11_outcomes", f"""WITH {TOUCH_SQL}, {PROCESS_SQL}, {TREES_SQL}, {FILE_SQL}, {MEDIA_SQL}, {KEYED_SQL}, tagged AS (
+  SELECT 'window' AS payload, t.seq, CASE WHEN t.kind = 'Opened' AND t.app_id = 'app-9' THEN 'Excluded' WHEN g.promoted THEN 'Promoted' WHEN NOT g.promoted THEN 'NotYetPromoted' ELSE 'NotApplicable' END AS outcome FROM tel t LEFT JOIN gate g USING (seq)
+  UNION ALL SELECT 'proc_tree', t.seq, CASE WHEN t.comm = 'app-9' OR starts_with(t.comm, 'shell-3') THEN 'Excluded' WHEN k.promoted THEN 'Promoted' WHEN NOT k.promoted THEN 'NotYetPromoted' ELSE 'NotApplicable' END FROM trees t LEFT JOIN keyed k ON k.payload = 'proc_tree' AND k.seq = t.seq
+  UNION ALL SELECT 'file', f.seq, CASE WHEN k.promoted THEN 'Promoted' ELSE 'NotYetPromoted' END FROM files f JOIN keyed k ON k.payload = 'file' AND k.seq = f.seq
+  UNION ALL SELECT 'media', seq, 'Demoted' FROM media UNION ALL SELECT 'idle', seq, 'NotApplicable' FROM tel WHERE kind = 'StateChanged' UNION ALL SELECT 'resource', event_id, 'NotApplicable' FROM events)
+  SELECT payload, seq, outcome FROM tagged""")
 def _(spark, sf_dir):
-    parts = {"window": telemetry, "file": file_events, "media": media_events}
-    rows = [f(spark, sf_dir).select(F.lit(k).alias("payload")) for k, f in parts.items()]
-    return rows[0].unionAll(rows[1]).unionAll(rows[2]).groupBy("payload").agg(F.count(F.lit(1)).alias("n"))
+    return ingest.outcomes(all_events(spark, sf_dir), OWN, "shell-3", GATE_NS)
 
 
 COUNTER_SQL = "count(*) AS count, arg_min(t_ns, seq) AS first_ns, arg_max(t_ns, seq) AS last_ns"
+BANDS = """unnest(['sample', 'cpu:' || CASE WHEN isnan(cpu) THEN 'unknown' WHEN cpu < 10 THEN 'idle' WHEN cpu < 40 THEN 'light' WHEN cpu < 80 THEN 'busy' ELSE 'saturated' END,
+  'mem:' || CASE WHEN mem_total = 0 THEN 'unknown' WHEN mem_used / mem_total * 100 < 50 THEN 'low' WHEN mem_used / mem_total * 100 < 85 THEN 'high' ELSE 'pressure' END])"""
+CHURN_SQL = r"""CASE WHEN regexp_matches(parse_filename(path), '(~|\.swp|\.swx|\.tmp|\.lock)$|^\.#|^\..*\.kate-swp$') THEN true WHEN parse_filename(path) IN ('COMMIT_EDITMSG', 'MERGE_MSG', 'TAG_EDITMSG', 'SQUASH_MSG') THEN false
+  ELSE len(list_intersect(string_split(path, '/'), ['.git', 'target', 'node_modules', '__pycache__', '.cache', '.venv', '.mypy_cache', '.pytest_cache'])) > 0 END"""
+LABEL_SQL = "CASE watch_label WHEN 'git' THEN 'git_activity' WHEN 'notes' THEN 'notes' WHEN 'calendar' THEN 'calendar' END"
+
+
+@query("adp01_dispatch", f"""WITH {TELEMETRY_SQL}, {FILE_SQL}, {MEDIA_SQL}, {RESOURCE_SQL}, k AS (SELECT 'app_lifecycle' AS domain, app_id AS key, seq, t_ns FROM tel WHERE kind = 'Opened'
+  UNION ALL SELECT 'idle_presence', CASE WHEN active THEN 'active' ELSE 'idle' END, seq, t_ns FROM tel WHERE kind = 'StateChanged' UNION ALL SELECT 'system_resource', {BANDS}, seq, t_ns FROM res
+  UNION ALL SELECT 'media_playback', title, seq, t_ns FROM media WHERE title <> '' UNION ALL SELECT {LABEL_SQL}, path, seq, t_ns FROM files WHERE {LABEL_SQL} IS NOT NULL AND NOT {CHURN_SQL})
+  SELECT domain, key, {COUNTER_SQL} FROM k GROUP BY domain, key""")
+def _(spark, sf_dir):
+    return adapters.dispatched(all_events(spark, sf_dir))
 
 
 @query("adp02_app_lifecycle", f"WITH {TELEMETRY_SQL} SELECT 'app_lifecycle' AS domain, app_id AS key, {COUNTER_SQL} FROM tel WHERE kind = 'Opened' GROUP BY app_id")
@@ -174,24 +204,19 @@ def _(spark, sf_dir):
     return adapters.counters(ingest.gated(t, "root_pid").where("promoted"), F.concat(F.lit("proc:"), "root_pid"), "process_activity")
 
 
-CHURN_SQL = r"""CASE WHEN regexp_matches(parse_filename(path), '(~|\.swp|\.swx|\.tmp|\.lock)$|^\.#|^\..*\.kate-swp$') THEN true WHEN parse_filename(path) IN ('COMMIT_EDITMSG', 'MERGE_MSG', 'TAG_EDITMSG', 'SQUASH_MSG') THEN false
-  ELSE len(list_intersect(string_split(path, '/'), ['.git', 'target', 'node_modules', '__pycache__', '.cache', '.venv', '.mypy_cache', '.pytest_cache'])) > 0 END"""
-
-
 @query("adp05_churn_paths", f"WITH {FILE_SQL} SELECT path, {CHURN_SQL} AS churn FROM files")
 def _(spark, sf_dir):
     return file_events(spark, sf_dir).select("path", adapters.churn(F.col("path")).alias("churn"))
 
 
-@query("adp06_file_activity", f"WITH {FILE_SQL} SELECT domain, path AS key, count(*) AS count, arg_min(t_ns, seq) AS first_ns, arg_max(t_ns, seq) AS last_ns FROM (SELECT *, CASE watch_label WHEN 'git' THEN 'git_activity' WHEN 'notes' THEN 'notes' WHEN 'calendar' THEN 'calendar' END AS domain, row_number() OVER (PARTITION BY watch_label ORDER BY seq) AS k FROM files) WHERE k >= 3 AND domain IS NOT NULL AND NOT {CHURN_SQL} GROUP BY domain, path")
+@query("adp06_file_activity", f"WITH {FILE_SQL} SELECT domain, path AS key, count(*) AS count, arg_min(t_ns, seq) AS first_ns, arg_max(t_ns, seq) AS last_ns FROM (SELECT *, {LABEL_SQL} AS domain, row_number() OVER (PARTITION BY watch_label ORDER BY seq) AS k FROM files) WHERE k >= 3 AND domain IS NOT NULL AND NOT {CHURN_SQL} GROUP BY domain, path")
 def _(spark, sf_dir):
     f = file_events(spark, sf_dir).withColumn("occurrence", F.lit(True)).withColumn("t_start_ns", F.lit(None).cast("long")).withColumn("t_end_ns", F.lit(None).cast("long"))
     rows = adapters.file_activity(ingest.gated(f, "watch_label").where("promoted"))
     return rows.groupBy("domain", F.col("path").alias("key")).agg(F.count(F.lit(1)).alias("count"), F.min_by("t_ns", "seq").alias("first_ns"), F.max_by("t_ns", "seq").alias("last_ns"))
 
 
-@query("adp07_resource_bands", f"""WITH {RESOURCE_SQL}, k AS (SELECT seq, t_ns, unnest(['sample', 'cpu:' || CASE WHEN isnan(cpu) THEN 'unknown' WHEN cpu < 10 THEN 'idle' WHEN cpu < 40 THEN 'light' WHEN cpu < 80 THEN 'busy' ELSE 'saturated' END,
-  'mem:' || CASE WHEN mem_total = 0 THEN 'unknown' WHEN mem_used / mem_total * 100 < 50 THEN 'low' WHEN mem_used / mem_total * 100 < 85 THEN 'high' ELSE 'pressure' END]) AS key FROM res)
+@query("adp07_resource_bands", f"""WITH {RESOURCE_SQL}, k AS (SELECT seq, t_ns, {BANDS} AS key FROM res)
   SELECT 'system_resource' AS domain, key, {COUNTER_SQL} FROM k GROUP BY key""")
 def _(spark, sf_dir):
     return adapters.resource_counts(resource_samples(spark, sf_dir))

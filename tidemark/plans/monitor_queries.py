@@ -107,10 +107,9 @@ def _(spark, sf_dir):
     return breaches(spark, sf_dir)
 
 
-@query("mon11_breach_counts", f"WITH {BREACH} SELECT component, seq, string_agg(metric, ';' ORDER BY metric DESC) AS metrics FROM br WHERE percent > lim GROUP BY component, seq")
+@query("mon11_breach_counts", f"WITH {BREACH} SELECT component, seq, string_agg(metric || '=' || round(round(percent, 6), 1)::DECIMAL(38,1) || '%', ';' ORDER BY metric DESC) AS summary FROM br WHERE percent > lim GROUP BY component, seq")
 def _(spark, sf_dir):
-    s = mon.breach_summary(breaches(spark, sf_dir))
-    return s.select("component", "seq", F.regexp_replace("summary", "=[0-9.]+%", "").alias("metrics"))
+    return mon.breach_summary(breaches(spark, sf_dir))
 
 
 @query("mon12_status_rows", f"""WITH {LAT}, h AS (SELECT component, 'h' || (user_id % 4) AS label, {BOUND} AS upper_ns, count(*) AS count FROM lat GROUP BY ALL), f AS (SELECT component, min(label) AS label, sum(count)::BIGINT AS total FROM h GROUP BY component),
@@ -193,23 +192,22 @@ def _(spark, sf_dir):
     return mon.compactions(family_queries(spark, sf_dir)).select("family", "seq", "k")
 
 
-@query("snk07_fan_out_drops", "SELECT user_id AS batch, least(count(*), 50) AS kept, greatest(count(*) - 50, 0) AS dropped FROM events GROUP BY user_id")
-def _(spark, sf_dir):
-    return mon.drained(table(spark, sf_dir, "events").select(F.col("user_id").alias("batch")), 50)
+DRAINED = "SELECT batch, least(n, {0}) AS kept, greatest(n - {0}, 0) AS dropped, {2}(seq) AS edge FROM (SELECT *, count(*) OVER (PARTITION BY batch) AS n, row_number() OVER (PARTITION BY batch ORDER BY seq {1}) AS k FROM o) WHERE k <= {0} GROUP BY batch, n"
 
 
-@query("snk08_queue_drops", "SELECT l_suppkey AS batch, least(count(*), 500) AS kept, greatest(count(*) - 500, 0) AS dropped FROM lineitem GROUP BY l_suppkey")
+@query("snk07_fan_out_drops", "WITH o AS (SELECT user_id AS batch, event_id AS seq FROM events) " + DRAINED.format(50, "DESC", "min"))
 def _(spark, sf_dir):
-    return mon.drained(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("batch")), 500)
+    return mon.drained(table(spark, sf_dir, "events").select(F.col("user_id").alias("batch"), F.col("event_id").alias("seq")), 50, newest=True)
 
 
-@query("snk06_backup_retention", "SELECT o_orderdate::DATE::VARCHAR AS label FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 8")
+@query("snk08_queue_drops", "WITH o AS (SELECT l_suppkey AS batch, l_orderkey * 10 + l_linenumber AS seq FROM lineitem) " + DRAINED.format(500, "ASC", "max"))
 def _(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("label")).distinct()
-    return o.orderBy(F.desc("label")).limit(8)
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("batch"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return mon.drained(line, 500, newest=False)
 
 
-EX = "ex AS (SELECT unnest(['app-1', 'keepassxc']) AS app_id), pz AS (SELECT t_ns AS from_ns, CASE WHEN n % 2 = 0 THEN least(t_ns + 36000000000000, coalesce(nx, 9223372036854775807)) ELSE coalesce(nx, 9223372036854775807) END AS until_ns FROM (SELECT *, lead(t_ns) OVER (ORDER BY t_ns, seq) AS nx FROM ctl) WHERE action = 'pause')"
+DEFAULTS = ", ".join(f"'{x}'" for x in priv.EXCLUDED)
+EX = f"ex AS (SELECT unnest(['app-1', {DEFAULTS}]) AS app_id), pz AS (SELECT t_ns AS from_ns, CASE WHEN n % 2 = 0 THEN least(t_ns + 36000000000000, coalesce(nx, 9223372036854775807)) ELSE coalesce(nx, 9223372036854775807) END AS until_ns FROM (SELECT *, lead(t_ns) OVER (ORDER BY t_ns, seq) AS nx FROM ctl) WHERE action = 'pause')"
 CTL = "ctl AS (SELECT seq, t_ns, CASE WHEN seq % 1000 = 0 THEN 'pause' ELSE 'resume' END AS action, seq // 1000 AS n FROM tel WHERE seq % 500 = 0)"
 
 
@@ -219,7 +217,7 @@ def controls(spark, sf_dir):
 
 
 def exclusions(spark):
-    defaults = spark.createDataFrame([("keepassxc",)], "app_id string")
+    defaults = spark.createDataFrame([(x,) for x in priv.EXCLUDED], "app_id string")
     return privacy.excluded_apps(defaults, spark.createDataFrame([("app-1",), ("keepassxc",)], "app_id string"))
 
 
@@ -239,30 +237,39 @@ def _(spark, sf_dir):
     return privacy.excluded_apps(s.where("s_suppkey < 20").select("app_id"), s.where("s_suppkey % 2 = 0").select("app_id"))
 
 
-@query("prv07_status", f"WITH {TELEMETRY_SQL}, {CTL}, {EX} SELECT (SELECT count(*) FROM pz WHERE from_ns <= 1705000000000000000 AND until_ns > 1705000000000000000) > 0 AS paused, coalesce((SELECT max(until_ns) FROM pz WHERE from_ns <= 1705000000000000000 AND until_ns > 1705000000000000000), 0) AS until_ns, 'app-1,keepassxc' AS excluded, (SELECT count(*) FROM customer) AS subscribers, (SELECT sum(c_custkey % 3)::BIGINT FROM customer) AS dropped")
+@query("prv07_status", f"WITH {TELEMETRY_SQL}, {CTL}, {EX} SELECT (SELECT count(*) FROM pz WHERE from_ns <= 1705000000000000000 AND until_ns > 1705000000000000000) > 0 AS paused, coalesce((SELECT max(until_ns) FROM pz WHERE from_ns <= 1705000000000000000 AND until_ns > 1705000000000000000), 0) AS until_ns, (SELECT string_agg(app_id, ',' ORDER BY app_id) FROM ex) AS excluded, (SELECT count(*) FROM customer) AS subscribers, (SELECT sum(c_custkey % 3)::BIGINT FROM customer) AS dropped")
 def _(spark, sf_dir):
     drops = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 3).alias("dropped"))
     s = privacy.status(exclusions(spark), privacy.pauses(controls(spark, sf_dir)), 1_705_000_000_000_000_000, drops)
     return s.withColumn("excluded", F.array_join("excluded", ","))
 
 
-@query("prv05_anonymous_paths", None)
+def placeholder_sql(key: bytes, kind: str, e: str) -> str:
+    """The keyed hash in SQL: HMAC over the length of the kind, the kind and the value."""
+    pad = lambda x: f"unhex('{bytes(b ^ x for b in key.ljust(64, bytes(1))).hex()}')"
+    head = (len(kind).to_bytes(8, "little") + kind.encode()).hex()
+    return f"sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || unhex('{head}') || encode({e}))))[:16]"
+
+
+PATH_SQL = "regexp_replace(url, '^[a-z]+:/', '')"
+
+
+@query("prv05_anonymous_paths", rf"WITH p AS (SELECT page_id, {PATH_SQL} AS path, regexp_extract({PATH_SQL}, '[^/]\.([^./]+)$', 1) AS ext FROM pages) SELECT page_id, CASE WHEN path = '' THEN '' ELSE '/anon/' || {placeholder_sql(b'a key', 'path', 'path')} || CASE WHEN ext = '' THEN '' ELSE '.' || ext END END AS path FROM p")
 def _(spark, sf_dir):
     path = F.regexp_replace("url", "^[a-z]+:/", "")
     return table(spark, sf_dir, "pages").select("page_id", priv.anonymous_path(b"a key", path).alias("path"))
 
 
-@query("prv04_pseudonyms", None)
+@query("prv04_pseudonyms", f"SELECT c_custkey, CASE WHEN c_name = '' THEN '' ELSE 'title-' || {placeholder_sql(b'a key', 'title', 'c_name')} END AS name FROM customer")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", priv.placeholder(b"a key", "title", F.col("c_name")).alias("name"))
 
 
-@query("prv06_anonymised_events", f"WITH {MEDIA_SQL} SELECT seq, status, player, title = '' AS no_title, artist = '' AS no_artist FROM media")
+@query("prv06_anonymised_events", f"WITH {MEDIA_SQL} SELECT seq, status, player, CASE WHEN title = '' THEN '' ELSE 'title-' || {placeholder_sql(b'k', 'title', 'title')} END AS title, CASE WHEN artist = '' THEN '' ELSE 'artist-' || {placeholder_sql(b'k', 'artist', 'artist')} END AS artist FROM media")
 def _(spark, sf_dir):
     m = media_events(spark, sf_dir).withColumn("media", F.struct("player", "status", "title", "artist"))
     hidden = F.col("media").withField("title", priv.placeholder(b"k", "title", F.col("title"))).withField("artist", priv.placeholder(b"k", "artist", F.col("artist")))
-    m = m.select("seq", hidden.alias("m"))
-    return m.select("seq", "m.status", "m.player", (F.col("m.title") == "").alias("no_title"), (F.col("m.artist") == "").alias("no_artist"))
+    return m.select("seq", hidden.alias("m")).select("seq", "m.status", "m.player", "m.title", "m.artist")
 
 
 @query("tnt01_taint_union", f"WITH {CHUNK_SQL} SELECT entity_id, bit_or(taint) AS taint FROM chunks GROUP BY entity_id")
@@ -408,10 +415,15 @@ def _(spark, sf_dir):
     return mon.reassembled(s, 8, s.where("generation < 0").select("generation"))
 
 
-@query("gen05_derived_rates", "SELECT conv_id, round(sum(strlen(text)) / count(*), 6) AS mean_bytes, round(max(turn) / greatest(count(*) - 1, 1), 6) AS gap FROM conversations GROUP BY conv_id")
+@query("gen05_derived_rates", """WITH e AS (SELECT user_id AS generation, event_id AS seq, epoch_us(ts) * 1000 AS t_ns, floor(value)::BIGINT % 50 AS prompt, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+  s AS (SELECT generation, t_ns AS start, prompt FROM e WHERE k = 1), g AS (SELECT generation, arg_min(t_ns, seq) AS a, arg_max(t_ns, seq) AS z, count(*) AS n FROM e WHERE k > 1 GROUP BY generation)
+  SELECT generation, round(CASE WHEN prompt > 0 THEN (a - start) / 1e6 / prompt ELSE 0 END, 4) AS prefill_ms, round(CASE WHEN n > 1 THEN (z - a) / 1e6 / (n - 1) ELSE 0 END, 4) AS decode_ms FROM g JOIN s USING (generation)""")
 def _(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.round(F.sum(F.octet_length("text")) / F.count(F.lit(1)), 6).alias("mean_bytes"), F.round(F.max("turn") / F.greatest(F.count(F.lit(1)) - 1, F.lit(1)), 6).alias("gap"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("generation"), F.col("event_id").alias("seq"), (micros(F.col("ts")) * 1000).alias("t_ns"), (F.floor("value") % 50).alias("prompt_tokens"))
+    # a user's first event asks, the later ones are its tokens
+    first = e.groupBy("generation").agg(F.min_by(F.struct("seq", F.col("t_ns").alias("start_ns"), "prompt_tokens"), "seq").alias("q"))
+    tokens = e.drop("prompt_tokens").join(first, "generation").where("seq > q.seq").select("generation", "seq", "t_ns", "q.start_ns", "q.prompt_tokens")
+    return mon.generation_rates(tokens).select("generation", F.round("prefill_ms", 4).alias("prefill_ms"), F.round("decode_ms", 4).alias("decode_ms"))
 
 
 @query("gen06_digests", "SELECT page_id, sha256(html) AS digest, sha256(html) = sha256(trim(html)) AS equal FROM pages")

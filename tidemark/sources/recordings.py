@@ -5,13 +5,20 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
+
+from tidemark.sources.storage import file_system
 
 #: Fixed values of the format.
 MAGIC, VERSION, MOST = b"NRMD", 1, 4 << 20
-HEADER = struct.Struct("<4sIQB")
+HEADER, BATCH = struct.Struct("<4sIQB"), 8 << 20
 
 
 class RecordingError(ValueError):
@@ -45,14 +52,25 @@ def made(content: bytes) -> tuple[int, bool]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, created_ns, anonymised, seq, frame) of the recordings at a path or glob, one file a task at most."""
+    """(path, created_ns, anonymised, seq, frame) of the recordings at a path or glob, one file a task at most. Frames leave
+    in batches of about BATCH bytes."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts, (created, anonymised) = list(frames(content)), made(content)
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([created] * n, pa.int64()), pa.array([anonymised] * n), pa.array(range(n), pa.int64()), pa.array(parts, pa.binary())], ["path", "created_ns", "anonymised", "seq", "frame"])
+            for k in range(batch.num_rows):
+                name, content = batch.column(0)[k].as_py(), batch.column(1)[k].as_buffer()
+                parts, seq, (created, anonymised) = [], 0, (0, False)
+                for n, part in enumerate(frames(memoryview(content))):
+                    created, anonymised = made(memoryview(content))
+                    parts.append(part)
+                    if sum(map(len, parts[-64:])) > BATCH or len(parts) == 4096:
+                        yield rows(name, created, anonymised, seq, parts)
+                        parts, seq = [], n + 1
+                yield rows(name, created, anonymised, seq, parts)
+
+    def rows(name: str, created: int, anonymised: bool, seq: int, parts: list) -> pa.RecordBatch:
+        n = len(parts)
+        return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array([created] * n, pa.int64()), pa.array([anonymised] * n, pa.bool_()), pa.array(range(seq, seq + n), pa.int64()), pa.array([bytes(x) for x in parts], pa.binary())], ["path", "created_ns", "anonymised", "seq", "frame"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(split, "path string, created_ns bigint, anonymised boolean, seq bigint, frame binary")
@@ -64,6 +82,62 @@ def encode(parts: list[bytes], created_ns: int, anonymised: bool) -> bytes:
     return HEADER.pack(MAGIC, VERSION, created_ns, anonymised) + b"".join(struct.pack("<I", len(x)) + x for x in parts)
 
 
-def write(rows: DataFrame, path: str) -> None:
-    """Rows as JSON lines under a path that must not exist yet."""
-    rows.write.mode("errorifexists").json(path)
+class Recordings(DataSource):
+    """Spark's sink of recordings: df.write.format("recording").option("created_ns", ...).save(path)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "recording"
+
+    def writer(self, schema: StructType, overwrite: bool) -> RecordingWriter:
+        return RecordingWriter({k: self.options[k] for k in ("path", "created_ns", "anonymised") if k in self.options})
+
+
+class RecordingWriter(DataSourceWriter):
+    """Each task writes its frames, in order, to a file of its own under a hidden name; the files get their names once all tasks
+    are done, so a task that failed or ran twice leaves nothing behind."""
+
+    def __init__(self, options: dict[str, str]):
+        self.options = options
+
+    def write(self, iterator: Iterator) -> Part:
+        fs, root = pafs.FileSystem.from_uri(self.options["path"])
+        task = TaskContext.get()
+        name = f"{root}/_part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        with fs.open_output_stream(name) as out:
+            out.write(encode([], int(self.options["created_ns"]), self.options["anonymised"] == "true"))
+            for row in iterator:
+                if len(row.frame) > MOST:
+                    raise RecordingError(f"a frame has more than {MOST} bytes")
+                out.write(struct.pack("<I", len(row.frame)) + bytes(row.frame))
+        return Part(name)
+
+    def commit(self, messages: list) -> None:
+        fs, _ = pafs.FileSystem.from_uri(self.options["path"])
+        for m in messages:
+            folder, _, name = m.name.rpartition("/")
+            fs.move(m.name, f"{folder}/{name[1:].rpartition('-')[0]}.rec")
+
+    def abort(self, messages: list) -> None:
+        fs, _ = pafs.FileSystem.from_uri(self.options["path"])
+        for m in messages:
+            if m is not None:
+                fs.delete_file(m.name)
+
+
+@dataclass
+class Part(WriterCommitMessage):
+    name: str
+
+
+def write(rows: DataFrame, path: str, created_ns: int, anonymised: bool) -> None:
+    """Rows (seq, frame) as recordings under a folder that must not exist yet, one for each partition, read back by read()."""
+    spark = rows.sparkSession
+    fs, at = file_system(spark, path)
+    if fs.exists(at):
+        raise RecordingError(f"{path} is there already")
+    fs.mkdirs(at)
+    spark.dataSource.register(Recordings)
+    uri = path if "://" in path else f"file://{path}"
+    ordered = rows.select("seq", "frame").sortWithinPartitions("seq").select("frame")
+    ordered.write.format("recording").mode("append").option("created_ns", created_ns).option("anonymised", str(anonymised).lower()).save(uri)

@@ -1,6 +1,6 @@
 """The ingest filter on live events: the batch operators' results, one micro-batch after another.
 
-State is one small row a window (or key) and goes when its time runs out.
+State is one small row a window (until it closes) or key.
 """
 
 from __future__ import annotations
@@ -8,28 +8,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.text import normal_title
 from tidemark.operators.ingest import DWELL_NS, OCCURRENCES, self_observed
+from tidemark.sources.storage import entries, file_system
 
 TOUCH = "seq long, t_ns long, toplevel_id long, app_id string, pid long, occurrence boolean, t_start_ns long, t_end_ns long, title string"
 WINDOW = "app_id string, title string, plain string, pid long, since long"
-TTL_MS = 3_600_000
 
 
-def segments(events: DataFrame, own: tuple[str, ...] = (), prefix: str = "\x00", ttl_ms: int = TTL_MS) -> DataFrame:
-    """The touches of operators.ingest.segments from a stream of window events that arrive in order. A window that is
-    silent for ttl_ms of processing time is forgotten."""
+def segments(events: DataFrame, own: tuple[str, ...] = (), prefix: str = "\x00") -> DataFrame:
+    """The touches of operators.ingest.segments from a stream of window events that arrive in order. A window is known until it
+    closes, however long it is silent: its state is one small row."""
     e = events.where((F.col("kind") != "Opened") | ~self_observed(F.col("app_id"), own, prefix))
     e = e.select("seq", "t_ns", "toplevel_id", "kind", "app_id", "title", F.coalesce(normal_title(F.col("title")), F.lit("")).alias("plain"), "pid", "active")
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         app, title, plain, pid, since = state.get if state.exists else (None, None, None, None, None)
         out = []
 
@@ -65,33 +62,27 @@ def segments(events: DataFrame, own: tuple[str, ...] = (), prefix: str = "\x00",
                 state.remove()
         else:
             state.update((app, title, plain, pid, since))
-            state.setTimeoutDuration(ttl_ms)
         if out:
             # nanoseconds do not survive a float column, which None would make
             exact = {"long": "Int64", "string": object, "boolean": bool}
             names = [c.split() for c in TOUCH.split(", ")]
             yield pd.DataFrame({n: pd.array(v, dtype=exact[kind]) for (n, kind), v in zip(names, zip(*out, strict=True), strict=True)})
 
-    return e.groupBy("toplevel_id").applyInPandasWithState(fold, TOUCH, WINDOW, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return e.groupBy("toplevel_id").applyInPandasWithState(fold, TOUCH, WINDOW, "append", GroupStateTimeout.NoTimeout)
 
 
-def gated(touches: DataFrame, occurrences: int = OCCURRENCES, dwell_ns: int = DWELL_NS, ttl_ms: int = TTL_MS) -> DataFrame:
-    """touches of a stream with `promoted`, keyed by app_id; a key that is silent for ttl_ms and not promoted starts anew."""
+def gated(touches: DataFrame, occurrences: int = OCCURRENCES, dwell_ns: int = DWELL_NS) -> DataFrame:
+    """touches of a stream with `promoted`, keyed by app_id: a key's counts are one small row, kept as in operators.ingest.gated."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, dwell = state.get if state.exists else (0, 0)
-        if state.hasTimedOut:
-            if seen < occurrences and dwell <= dwell_ns:
-                state.remove()
-            return
         rows = pd.concat(list(batches)).sort_values("seq")
         n, total = seen + rows.occurrence.astype("int64").cumsum(), dwell + rows.span.cumsum()
         state.update((int(n.iloc[-1]), int(total.iloc[-1])))
-        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"seq": rows.seq, "app_id": key[0], "promoted": (n >= occurrences) | (total > dwell_ns)})
 
     span = F.greatest(F.coalesce(F.col("t_end_ns") - F.col("t_start_ns"), F.lit(0)), F.lit(0))
-    return touches.select("seq", "app_id", "occurrence", span.alias("span")).groupBy("app_id").applyInPandasWithState(fold, "seq long, app_id string, promoted boolean", "seen long, dwell long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return touches.select("seq", "app_id", "occurrence", span.alias("span")).groupBy("app_id").applyInPandasWithState(fold, "seq long, app_id string, promoted boolean", "seen long, dwell long", "append", GroupStateTimeout.NoTimeout)
 
 
 def bursts(inserts: DataFrame, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -102,8 +93,21 @@ def bursts(inserts: DataFrame, gap: str = "500 milliseconds", late: str = "10 se
 
 def written_once(batch: DataFrame, batch_id: int, root: str, names: dict[str, object]) -> None:
     """For foreachBatch: every table that a micro-batch makes goes to a folder named by the batch, overwritten when the batch
-    is run again, so that a retry neither loses nor doubles rows. names: table -> function of the batch."""
+    is run again; a mark written last says that all of them are there. So a retry neither loses nor doubles rows, and
+    whole_batches() shows all tables of a batch or none. names: table -> function of the batch."""
     batch.persist()
-    for name, make in names.items():
-        make(batch).write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
-    batch.unpersist()
+    try:
+        for name, make in names.items():
+            make(batch).write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        fs, mark = file_system(batch.sparkSession, f"{root}/_whole/{batch_id}")
+        fs.create(mark, True).close()
+    finally:
+        batch.unpersist()
+
+
+def whole_batches(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of written_once(), without batches that were not finished."""
+    done = [int(x) for x in entries(spark, f"{root}/_whole")]
+    if not done:
+        raise LookupError(f"no finished batch in {root}")
+    return spark.read.parquet(f"{root}/{name}").where(F.col("batch").isin(done)).drop("batch")
