@@ -12,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, language, mixing, neardup, personal, quality, toxicity
+from tidemark.llm import decontaminate, language, mixing, neardup, personal, quality, substring, toxicity
 from tidemark.llm.linear import Grams, fit
-from tidemark.llm.textops import Words, rolling, text_view
+from tidemark.llm.textops import Words, text_view
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 SF = "/root/testdata/sf0.01"
@@ -105,14 +105,11 @@ def test_language(spark, tables, awkward):
 def test_forward_sums_all_segmentations():
     """The forward pass equals the sum over explicit segmentations."""
     rng = random.Random(6)
-    texts = sorted({"".join(rng.choices("abc", k=rng.randint(1, 3))) for _ in range(20)})
-    code = np.unique(np.array([language.mix(rolling(np.array([ord(c) for c in t], np.uint64) + np.uint64(1), len(t)) + np.uint64(len(t)))[0] for t in texts]))
-    near = np.zeros(1 << 24, bool)
-    near[code >> np.uint64(40)] = True
-    vocabulary = language.Pieces(code, near)
-    p = np.array([[rng.random()] for _ in range(len(code) + 1)])
+    texts = {"".join(rng.choices("abc", k=rng.randint(1, 3))) for _ in range(20)}
+    vocabulary = language.Pieces.of(texts)
+    p = np.array([[rng.random()] for _ in range(len(texts) + 1)])
     p[-1] = language.RARE
-    of = lambda t: int(vocabulary.numbers(np.array([ord(c) for c in t], np.uint32), len(t))[0])
+    of = lambda t: int(vocabulary.numbers(np.array([ord(c) for c in t], np.uint32))[len(t) - 1][0])
     words = ["".join(rng.choices("abcd", k=rng.randint(1, 7))) for _ in range(30)]
     points = np.array([ord(c) for w in words for c in w], np.uint32)
     logs = language.Lattice(vocabulary, points, np.cumsum([0, *map(len, words)])).logs(p)
@@ -124,15 +121,121 @@ def test_forward_sums_all_segmentations():
                 if c:
                     parts.append(w[last:i])
                     last = i
-            numbers = [of(x) if len(x) <= language.PIECE else -1 for x in parts]
+            numbers = [of(x) if len(x) <= vocabulary.longest else -1 for x in parts]
             if all(k >= 0 or len(x) == 1 for k, x in zip(numbers, parts)):
                 total += float(np.prod([p[k, 0] for k in numbers]))
         assert np.isclose(np.exp(got), total)
 
 
-def test_masks_survive_two_substitutions():
-    for wrong in itertools.combinations(range(13), 2):
-        assert any(all(p + i not in wrong for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for p in range(13 - len(m) + 1))
+def test_words_of_any_length_sum_all_segmentations():
+    """Rescaling changes nothing, and no cut is made in a long word."""
+    rng = random.Random(9)
+    texts = {"a", "b", "ab", "ba", "aab", "abab", "b" * 11}
+    vocabulary = language.Pieces.of(texts)
+    p = np.array([[rng.random(), rng.random() / 50] for _ in range(len(texts) + 1)])
+    of = {t: int(vocabulary.numbers(np.array([ord(c) for c in t], np.uint32))[len(t) - 1][0]) for t in texts}
+    words = ["".join(rng.choices("abc", k=n)) for n in (1, 7, 8, 9, 40, 41, 100, 700)]
+    points = np.array([ord(c) for w in words for c in w], np.uint32)
+    got = language.Lattice(vocabulary, points, np.cumsum([0, *map(len, words)])).logs(p)
+    for w, logs in zip(words, got):
+        for k in range(2):
+            one, scale = [1.0], [0.0]
+            for end in range(1, len(w) + 1):
+                total = 0.0
+                for n in range(1, min(end, 11) + 1):
+                    piece = w[end - n : end]
+                    if piece in of or n == 1:
+                        total += one[end - n] * np.exp(scale[end - n] - scale[end - 1]) * p[of.get(piece, -1), k]
+                one.append(1.0)
+                scale.append(scale[-1] + np.log(total))
+            assert np.isclose(logs[k], scale[-1])
+
+
+def test_every_piece_of_the_vocabulary_counts():
+    texts, vocabulary = language.piece_texts(), language.pieces()
+    assert len(vocabulary.code) == len(texts) > 25_000 and vocabulary.longest == max(map(len, texts)) > 8
+    for t in sorted(texts)[::97]:
+        assert vocabulary.numbers(np.array([ord(c) for c in t], np.uint32))[len(t) - 1][0] >= 0
+
+
+def test_masks_survive_substitutions():
+    """Any 13 of 16 words, and any two substitutions in 12, leave a seed."""
+    for size, n in ((12, 2), (13, 2), (16, 3)):
+        for wrong in itertools.combinations(range(size), n):
+            assert any(all(p + i not in wrong for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for p in range(size - len(m) + 1))
+
+
+def leaks(text, item, least=13):
+    """The overlap of most matches by comparing all diagonals word by word, as (matched, length, start), or None."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    d, q = (WORD.findall((t or "").translate(lower)) for t in (text, item))
+    need, span, best = min(least, -(-4 * len(q) // 5)), min(5 * least // 4, len(q)), None
+    for shift in range(-len(q) + 1, len(d)):
+        same = {i for i in range(max(0, shift), min(len(d), len(q) + shift)) if d[i] == q[i - shift]}
+        spans = [i for i in sorted(same) if len(same & set(range(i, i + span))) >= need]
+        while spans:
+            start, end = spans[0], spans[0] + span
+            while spans and spans[0] <= end:
+                end = max(end, spans.pop(0) + span)
+            inside = [i for i in sorted(same) if start <= i < min(end, len(d), len(q) + shift)]
+            found = (len(inside), inside[-1] + 1 - start, start)
+            if best is None or (found[0], -found[2]) > (best[0], -best[2]):
+                best = found
+    return best
+
+
+def test_decontamination_is_brute_force(spark):
+    """Every overlap that comparing all positions finds, with its size, and no other; 3 substitutions in 16 words are survived."""
+    rng = random.Random(12)
+    prose = lambda n, k=3000: ["w%d" % rng.randrange(k) for _ in range(n)]
+    items = [prose(rng.choice([13, 14, 16, 20, 40, 90, 600])) for _ in range(24)]
+    texts = []
+    for i in range(150):
+        item = list(items[i % 24])
+        a = rng.randrange(max(1, len(item) - 30))
+        part = item[a : a + rng.choice([12, 13, 16, 20, 40, 700])]
+        for k in rng.sample(range(len(part)), rng.choice([0, 0, 1, 2, 3, len(part) // 6])):
+            part[k] = "x%d" % rng.randrange(9)
+        texts.append(" ".join(prose(rng.randint(0, 60)) + part + prose(rng.randint(0, 60))))
+    texts += ["w1 " * 300, " ".join(items[0] * 3), None, ""]
+    items += [["w1"] * 30, ["w1"] * 16]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.length, r.start) for r in decontaminate.overlaps(docs, benchmark).collect()}
+    want = {(d, i): x for d, t in enumerate(texts) for i, q in enumerate(items) if (x := leaks(t, " ".join(q)))}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and len(want) > 90
+    assert {k: v for k, v in got.items()} == want
+    assert max(v[0] for v in want.values()) > 400
+
+
+def test_an_overlap_is_as_long_as_it_is(spark):
+    words = ["v%d" % i for i in range(900)]
+    docs = spark.createDataFrame([(1, " ".join(["a"] * 50 + words[200:700] + ["b"] * 50), None, None, None)], SCHEMA)
+    r = decontaminate.overlaps(docs, spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")).first()
+    assert (r.matched, r.length, r.start) == (500, 500, 50)
+
+
+def thue_morse(a, b, n=2048):
+    t = [0]
+    while len(t) < n:
+        t += [1 - x for x in t]
+    return "".join((a, b)[x] for x in t), "".join((b, a)[x] for x in t)
+
+
+def test_words_that_linear_hashes_confuse(spark):
+    """The Thue-Morse word and its complement are one under every polynomial modulo a power of two."""
+    t, u = thue_morse("a", "b")
+    assert len(set(Words(*text_view(pa.array([t, u]))).code)) == 2
+    assert [x.tolist() for x in quality.counts(*text_view(pa.array([f"{t}\n{u}"])))][3] == [0]
+    assert [x.tolist() for x in quality.counts(*text_view(pa.array([f"{t}\n{u}\n{t}"])))][3] == [1]
+    filler = ["w%d" % i for i in range(49)]
+    rows = [(1, " ".join([*filler, t])), (2, " ".join([*filler, u])), (3, f"x y {t}"), (4, f"x y {u}"), (5, f"x y {t} x y {u}")]
+    docs = spark.createDataFrame([(i, x, None, None, None) for i, x in rows], SCHEMA)
+    assert {r.doc_id: r.n_removed for r in substring.deduplicated(docs).collect()} == dict.fromkeys(range(1, 6), 0)
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in neardup.classes(docs.where("doc_id > 2"), 3, 85).collect()}
+    assert got == {3: (3, 1), 4: (4, 1), 5: (5, 4)}
+    many = spark.createDataFrame([(1, " ".join([t] * 20), None, None, None)], SCHEMA)
+    assert decontaminate.overlaps(many, spark.createDataFrame([(1, " ".join([u] * 20))], "item_id bigint, text string")).count() == 0
 
 
 def test_decontamination(spark, awkward):
@@ -199,6 +302,22 @@ def test_pipeline_stages(spark, tables):
         now = after
 
 
+def test_pipeline_stages_keep_rows_whole(spark, tables, awkward):
+    """Every stage takes nulls, empty and very long texts, repeated rows and columns named as its own are, and hands all columns on."""
+    names = ["size", "row", "gone", "taken", "words", "spans", "f", "key", "hub", "_size", "_id", "_gone", "prob", "kept", "value"]
+    docs = tables["documents"].where("doc_id < 60").unionByName(awkward.select(tables["documents"].columns))
+    for c in names:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, SF)
+        assert after.columns == [*docs.columns, *(["mix_words"] if name == "mixing" else [])]
+        rows = after.collect()
+        assert rows and all(r[c] == c + ("null" if r.doc_id is None else str(r.doc_id)) for r in rows for c in names)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    again = mixing.mix(mixing.mix(docs))
+    assert again.columns.count("mix_words") == 1 and again.count()
+
+
 def test_words_of_slices():
     texts = ["a bb a\tbb ccc", None, "", "x", " é bb a bb\x0b", "y" * 3_000_000 + " z"]
     data, offsets = text_view(pa.array(texts))

@@ -1,6 +1,6 @@
 """Finding repeats across a corpus with packed arrays.
 
-Documents are dealt by a hash of doc_id into chunks of about CHUNK_BYTES of text. A chunk sends the
+Documents are dealt by a hash of doc_id and text into chunks of about CHUNK_BYTES of text. A chunk sends the
 distinct keys of its windows, sorted and packed, to shards (ranges of the key space); a shard sees
 each key of a chunk once, however often the chunk has it, and answers every chunk with a few bits for
 each key, in the order sent. A hot key therefore costs a shard one entry a chunk. Every step is a
@@ -68,7 +68,7 @@ def corpus(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Corpus:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n = max(1, -(-total // chunk_bytes))
-    texts = rows.select(F.pmod(F.hash("doc_id", F.lit(7)), F.lit(n)).alias("chunk"), "doc_id", "text").repartition(n, "chunk")
+    texts = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text").repartition(n, "chunk")
     return Corpus(texts, total, 1 << max(0, (n // 2).bit_length() - 1))
 
 

@@ -2,10 +2,10 @@
 
 MASKS say which word positions a seed reads; the others are ignored, so a seed survives a substituted
 word there. The seeds of all benchmark items are joined by hash with those of every document position;
-around a hit the two texts are laid side by side on the hit's diagonal, and the best ungapped overlap
-(a match scores 1, a substitution -MISS) is taken within REACH words of the hit. It counts if it has
-at least `least` matching words (all but a fifth of the words of a shorter item) and at least four
-fifths of its words match. With these masks any two substitutions in 13 words leave a seed.
+around a hit the two texts are laid side by side on the hit's diagonal, as far as both go. An overlap is
+a stretch of which every SPAN words hold `least` matching ones (of an item of fewer words, four fifths of
+them), cut to its first and last match: 13 of 16 words by default. With these masks each such 16 words
+leave a seed, so none is missed; so do any two substitutions in 12 words.
 
 The benchmark is broadcast only in blocks of at most BLOCK_WORDS words; a larger one is split by a
 hash of its items, and each block runs over the documents in turn. Words are lower-cased in A-Z.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.textops import U, Words, mix, slices, text_view
 
-MASKS = ("1110111", "1101011001", "111001011")
-MISS, REACH, BLOCK_WORDS = 3, 96, 1_000_000
+MASKS = ("111111", "1110111", "1101011001", "111001011")
+BLOCK_WORDS, AT_ONCE = 1_000_000, 1 << 20
 FILTER_BITS = 22
 
 
@@ -42,55 +42,70 @@ class Index:
     near: np.ndarray
     least: int
 
-    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(document word, item word) where seeds agree; a diagonal may come several times."""
-        left, right = [], []
+    def hits(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(document word, item word) where seeds agree, about AT_ONCE pairs at a time; a diagonal may come several times."""
         for offsets, (seed, place) in zip(shapes(), self.seeds, strict=True):
             if not len(seed):
                 continue
             at, code = seeds_of(words.code, words.first, offsets)
             some = np.flatnonzero(self.near[code >> U(64 - FILTER_BITS)])
             low, high = np.searchsorted(seed, code[some], "left"), np.searchsorted(seed, code[some], "right")
-            n = high - low
-            left.append(np.repeat(at[some], n))
-            right.append(place[np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)])
-        return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in (left, right))
+            at, low, n = at[some], low, high - low
+            total = np.append(0, np.cumsum(n))
+            a = 0
+            while a < len(n):
+                b = max(a + 1, int(np.searchsorted(total, total[a] + AT_ONCE, "right")) - 1)
+                if m := int(total[b] - total[a]):
+                    yield np.repeat(at[a:b], n[a:b]), place[np.arange(m) + np.repeat(low[a:b] - (total[a:b] - total[a]), n[a:b])]
+                a = b
 
     def overlaps(self, words: Words) -> dict[str, np.ndarray]:
-        """The best overlap of each (row, item) that counts."""
-        doc, item = self.hits(words)
-        row, which = np.searchsorted(words.first, doc, "right") - 1, np.searchsorted(self.first, item, "right") - 1
-        # one hit for each REACH words of a diagonal is enough
-        _, one = np.unique(np.stack([row, which, doc - item, item // (REACH // 2)]), axis=1, return_index=True)
-        got = {k: [] for k in ("row", "item", "matched", "length", "start")}
-        for at in range(0, len(one), 4096):
-            self.extend(words, *(x[one[at : at + 4096]] for x in (doc, item, row, which)), got)
-        out = {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in got.items()}
+        """The overlap with most matches of each (row, item) that has one."""
+        lines = np.empty((3, 0), np.int64)
+        for doc, item in self.hits(words):
+            row, which = np.searchsorted(words.first, doc, "right") - 1, np.searchsorted(self.first, item, "right") - 1
+            lines = np.unique(np.concatenate([lines, np.stack([row, which, doc - item])], axis=1), axis=1)
+        got = {k: [np.empty(0, np.int64)] for k in ("row", "item", "matched", "length", "start")}
+        row, which, shift = lines
+        low = np.maximum(words.first[row], self.first[which] + shift) if lines.size else shift
+        size = np.minimum(words.first[row + 1], self.first[which + 1] + shift) - low if lines.size else shift
+        total, a = np.append(0, np.cumsum(size)), 0
+        while a < len(row):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + AT_ONCE, "right")) - 1)
+            self.extend(words, row[a:b], which[a:b], shift[a:b], low[a:b], size[a:b], got)
+            a = b
+        out = {k: np.concatenate(v) for k, v in got.items()}
         order = np.lexsort((out["start"], -out["matched"], out["item"], out["row"]))
         out = {k: v[order] for k, v in out.items()}
         new = np.ones(len(order), bool)
         new[1:] = (out["row"][1:] != out["row"][:-1]) | (out["item"][1:] != out["item"][:-1])
         return {k: v[new] for k, v in out.items()}
 
-    def extend(self, words: Words, doc: np.ndarray, item: np.ndarray, row: np.ndarray, which: np.ndarray, got: dict) -> None:
-        step = np.arange(-REACH, REACH + 1)
-        d, i = doc[:, None] + step, item[:, None] + step
-        inside = (d >= words.first[row][:, None]) & (d < words.first[row + 1][:, None]) & (i >= self.first[which][:, None]) & (i < self.first[which + 1][:, None])
-        same = inside & (words.code[np.clip(d, 0, len(words.code) - 1)] == self.code[np.clip(i, 0, len(self.code) - 1)])
-        score = np.where(same, 1, np.where(inside, -MISS, -10_000))
-        total = np.zeros((len(doc), len(step) + 1), np.int64)
-        np.cumsum(score, axis=1, out=total[:, 1:])
-        low = np.minimum.accumulate(total, axis=1)
-        end = np.argmax(total - low, axis=1)
-        lines = np.arange(len(doc))
-        begin = np.argmax((total == low[lines, end][:, None]) & (np.arange(len(step) + 1) <= end[:, None]), axis=1)
-        hits = np.zeros_like(total)
-        np.cumsum(same, axis=1, out=hits[:, 1:])
-        matched, length = hits[lines, end] - hits[lines, begin], end - begin
-        size = self.first[which + 1] - self.first[which]
-        good = (5 * matched >= 4 * length) & (matched >= np.minimum(self.least, -(-4 * size // 5)))
-        for k, v in (("row", row), ("item", which), ("matched", matched), ("length", length), ("start", doc + step[0] + begin - words.first[row])):
-            got[k].append(v[good])
+    def extend(self, words: Words, row: np.ndarray, which: np.ndarray, shift: np.ndarray, low: np.ndarray, size: np.ndarray, got: dict) -> None:
+        """Adds the overlaps of whole diagonals: document words low to low + size beside item words that many less shift."""
+        items = np.diff(self.first)[which]
+        need, span = np.minimum(self.least, -(-4 * items // 5)), np.minimum(5 * self.least // 4, items)
+        of = np.repeat(np.arange(len(row)), size)
+        begin = np.cumsum(size) - size
+        at = np.arange(len(of))
+        d = at - np.repeat(begin - low, size)
+        same = words.code[d] == self.code[d - shift[of]]
+        hits = np.append(0, np.cumsum(same))
+        # spans that begin at a match; one that would leave the diagonal ends there
+        lead = np.flatnonzero(same)
+        stop = np.minimum(lead + span[of[lead]], (begin + size)[of[lead]])
+        dense = hits[stop] - hits[lead] >= need[of[lead]]
+        lead, stop = lead[dense], stop[dense]
+        if not len(lead):
+            return
+        new = np.ones(len(lead), bool)
+        new[1:] = (lead[1:] > stop[:-1]) | (of[lead[1:]] != of[lead[:-1]])
+        first = np.flatnonzero(new)
+        start, end = lead[first], np.maximum.reduceat(stop, first)
+        last = np.flatnonzero(same)[np.searchsorted(np.flatnonzero(same), end) - 1] + 1
+        k = of[start]
+        for name, v in (("row", row[k]), ("item", which[k]), ("matched", hits[last] - hits[start]), ("length", last - start), ("start", d[start] - words.first[row[k]])):
+            got[name].append(v)
 
 
 def shapes() -> list[np.ndarray]:

@@ -1,14 +1,14 @@
 """Language identification by unigrams over pieces, with all segmentations summed.
 
-Each language has probabilities over the pieces of a fixed public vocabulary. A word, with the
+Each language has probabilities over the pieces of a fixed public vocabulary, all of them. A word, with the
 vocabulary's mark of a word start, is worth the sum over all its segmentations of the product of its
-pieces' probabilities, found by a forward pass over its characters; a text is worth the product of
-its words. Probabilities are fitted by expectation maximisation on a bounded sample: up to `each`
-documents of at most `most` bytes per language, the first by a hash of the id.
+pieces' probabilities, found by a forward pass over its characters, however many; a text is worth the
+product of its words. Probabilities are fitted by expectation maximisation on a bounded sample: up to
+`each` documents of at most `most` bytes per language, the first by a hash of the id, and their words of
+at most LEARNED characters.
 
 A text that is null or has no letter is `und` with score 0. Texts are lower-cased. Characters that
-no piece covers have one probability in all languages. Runs of more than LONGEST characters are cut
-into blocks of LONGEST, each like a word of its own. If nothing can be learned, all rows are `und`.
+no piece covers have one probability in all languages. If nothing can be learned, all rows are `und`.
 """
 
 from __future__ import annotations
@@ -24,45 +24,62 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.linear import held_out
-from tidemark.llm.textops import U, code_points, mix, rolling, slices, text_view
+from tidemark.llm.textops import U, code_points, mix, range_hashes, slices, text_view
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-START, LONGEST, PIECE, RARE = 0x2581, 40, 8, 1e-6
+START, LEARNED, RARE, RESCALE = 0x2581, 64, 1e-6, 8
+STEP, SPREAD = U(0x9E3779B97F4A7C55), U(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """Hashes of the vocabulary's pieces of up to PIECE characters, ascending, with their numbers."""
+    """Codes of the vocabulary's pieces, ascending, with their numbers, and the characters of the longest one."""
 
     code: np.ndarray
     near: np.ndarray
-
-    def numbers(self, points: np.ndarray, size: int) -> np.ndarray:
-        """Number of the piece of `size` characters that starts at each place, or -1."""
-        code = mix(rolling(points.astype(U) + U(1), size) + U(size))
-        out = np.full(len(points), -1, np.int32)
-        some = np.flatnonzero(self.near[code >> U(40)])
-        at = np.minimum(np.searchsorted(self.code, code[some]), len(self.code) - 1)
-        out[some] = np.where(self.code[at] == code[some], at, -1)
-        return out
+    longest: int
+
+    @classmethod
+    def of(cls, texts: set[str]) -> Pieces:
+        code = np.unique(np.concatenate([list(codes(np.array([ord(c) for c in t], np.uint32), len(t)))[-1] for t in sorted(texts)]))
+        if len(code) != len(texts):
+            raise ValueError("two pieces have one code")
+        near = np.zeros(1 << 24, bool)
+        near[code >> U(40)] = True
+        return cls(code, near, max(map(len, texts)))
+
+    def numbers(self, points: np.ndarray) -> list[np.ndarray]:
+        """For each number of characters, from 1: number of the piece of that size that starts at each place, or -1."""
+        found = []
+        for code in codes(points, self.longest):
+            out = np.full(len(points), -1, np.int32)
+            some = np.flatnonzero(self.near[code >> U(40)])
+            at = np.minimum(np.searchsorted(self.code, code[some]), len(self.code) - 1)
+            out[some] = np.where(self.code[at] == code[some], at, -1)
+            found.append(out)
+        return found
+
+
+def codes(points: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """Codes of the pieces of 1, 2, ..., longest characters that start at each place."""
+    x = points.astype(U) + U(1)
+    now = x
+    for size in range(1, longest + 1):
+        if size > 1:
+            now = now[:-1] * STEP + x[size - 1 :]
+        yield (now + U(size)) * SPREAD
 
 
 def pieces(path: str = VOCABULARY) -> Pieces:
     """Read on the driver; the vocabulary's size is fixed."""
+    return Pieces.of(piece_texts(path))
+
+
+def piece_texts(path: str = VOCABULARY) -> set[str]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    texts = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    code = []
-    for size in range(1, PIECE + 1):
-        own = sorted(t for t in texts if len(t) == size)
-        if own:
-            points = np.array([[ord(c) for c in t] for t in own], U) + U(1)
-            code.append(mix(np.concatenate([rolling(p, size) for p in points]) + U(size)))
-    code = np.unique(np.concatenate(code))
-    near = np.zeros(1 << 24, bool)
-    near[code >> U(40)] = True
-    return Pieces(code, near)
+    return {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
 
 
 class Lattice:
@@ -73,46 +90,54 @@ class Lattice:
         self.order = np.argsort(-size, kind="stable")
         self.first, self.size = first[:-1][self.order], size[self.order]
         self.longest = int(size.max()) if len(size) else 0
-        self.number = [vocabulary.numbers(points, n) for n in range(1, PIECE + 1)]
-
-    def steps(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(end, length, rows, places, piece numbers) of all pieces, by end; single characters
-        without a piece have number -1."""
-        for end in range(1, self.longest + 1):
-            rows = int(np.searchsorted(-self.size, -end, "right"))
-            for n in range(1, min(end, PIECE) + 1):
-                at = self.first[:rows] + end - n
-                number = self.number[n - 1][at]
-                if n == 1:
-                    yield end, n, np.arange(rows), at, number
-                elif (some := np.flatnonzero(number >= 0)).size:
-                    yield end, n, some, at[some], number[some]
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[row, end, language]; p has a last row for characters without a piece."""
-        alpha = np.zeros((self.longest + 1, len(self.size), p.shape[1]))
-        alpha[0] = 1
-        for end, n, rows, _, number in self.steps():
-            alpha[end, rows] += alpha[end - n, rows] * p[number]
-        return alpha
+        self.number = vocabulary.numbers(points)
+
+    def ending(self, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, rows, piece numbers) of the pieces that end at a character; single ones without a piece have number -1."""
+        rows = int(np.searchsorted(-self.size, -end, "right"))
+        for n in range(1, min(end, len(self.number)) + 1):
+            number = self.number[n - 1][self.first[:rows] + end - n]
+            if n == 1:
+                yield n, np.arange(rows), number
+            elif (some := np.flatnonzero(number >= 0)).size:
+                yield n, some, number[some]
 
     def logs(self, p: np.ndarray) -> np.ndarray:
-        """Log-probability of each word under each language, in the words' own order."""
-        out = np.empty((len(self.size), p.shape[1]))
-        out[self.order] = np.log(self.forward(p)[self.size, np.arange(len(self.size))])
-        return out
+        """Log-probability of each word under each language, in the words' own order; p has a last row for characters
+        without a piece. Only the forward values that a piece can reach are held, and rescaled now and then."""
+        out, scale = np.empty((len(self.size), p.shape[1])), np.zeros((len(self.size), p.shape[1]))
+        ring = [np.ones((len(self.size), p.shape[1]))]
+        for end in range(1, self.longest + 1):
+            rows, later = (int(np.searchsorted(-self.size, -e, "right")) for e in (end, end + 1))
+            now = np.zeros((rows, p.shape[1]))
+            for n, some, number in self.ending(end):
+                now[some] += ring[n - 1][some] * p[number]
+            ring = [now, *(x[:rows] for x in ring[: len(self.number) - 1])]
+            if end % RESCALE == 0:
+                scale[:rows] += np.log(now)
+                ring = [x / now for x in ring]
+            out[later:rows] = np.log(ring[0][later:]) + scale[later:rows]
+        logs = np.empty_like(out)
+        logs[self.order] = out
+        return logs
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece under p (one language), words weighted by counts."""
-        alpha, lines = self.forward(p)[:, :, 0], np.arange(len(self.size))
+        """Expected uses of each piece under p (one language), words weighted by counts; for words of at most LEARNED characters."""
+        lines, steps = np.arange(len(self.size)), [list(self.ending(end)) for end in range(1, self.longest + 1)]
+        alpha = np.zeros((self.longest + 1, len(self.size)))
+        alpha[0] = 1
+        for end, found in enumerate(steps, 1):
+            for n, rows, number in found:
+                alpha[end, rows] += alpha[end - n, rows] * p[number, 0]
         beta = np.zeros_like(alpha)
         beta[self.size, lines] = 1
         total = counts[self.order] / alpha[self.size, lines]
         out = np.zeros(len(p))
-        for end, n, rows, _, number in reversed(list(self.steps())):
-            use = p[number, 0] * beta[end, rows]
-            out += np.bincount(number % len(p), weights=alpha[end - n, rows] * use * total[rows], minlength=len(p))
-            beta[end - n, rows] += use
+        for end in range(self.longest, 0, -1):
+            for n, rows, number in steps[end - 1]:
+                use = p[number, 0] * beta[end, rows]
+                out += np.bincount(number % len(p), weights=alpha[end - n, rows] * use * total[rows], minlength=len(p))
+                beta[end - n, rows] += use
         return out
 
 
@@ -122,7 +147,7 @@ def letters() -> np.ndarray:
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of a slice as code points (lower case, marked, cut at LONGEST) with bounds, the
+    """Distinct words of a slice as code points (lower case, marked) with bounds, the
     number of the word at each place of the text and the bounds of the rows in those."""
     text = data.tobytes().decode("utf-8", "replace")
     lower = text.lower()
@@ -139,15 +164,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stop = solid.copy()
     stop[:-1] &= ~solid[1:] | begin[1:]
     end = np.flatnonzero(stop) + 1
-    n = -(-(end - start) // LONGEST)
-    part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start, end = np.repeat(start, n) + part * LONGEST, np.minimum(np.repeat(start, n) + (part + 1) * LONGEST, np.repeat(end, n))
+    _, one, back = np.unique(range_hashes(points.view(np.uint8), 4 * start, 4 * end), return_index=True, return_inverse=True)
     size = end - start
-    code = np.full(len(start), U(1))
-    for k in range(int(size.max()) if len(size) else 0):
-        on = np.flatnonzero(size > k)
-        code[on] = code[on] * U(0x9E3779B97F4A7C55) + points[start[on] + k] + U(1)
-    _, one, back = np.unique(mix(code), return_index=True, return_inverse=True)
     size = size[one] + 1
     first = np.append(0, np.cumsum(size))
     at = np.arange(first[-1]) - np.repeat(first[:-1], size)
@@ -164,10 +182,12 @@ class Model:
     def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         points, first, back, rows = words(data, offsets)
         each = np.zeros((len(first) - 1, len(self.languages)))
-        for at in range(0, len(each), 1 << 15):
-            to = min(len(each), at + (1 << 15))
+        at = 0
+        while at < len(each):
+            to = max(at + 1, min(at + (1 << 15), int(np.searchsorted(first, first[at] + (1 << 20), "right")) - 1))
             part = points[first[at] : first[to]]
             each[at:to] = Lattice(self.pieces, part, first[at : to + 1] - first[at]).logs(self.p)
+            at = to
         total = np.zeros((len(back) + 1, each.shape[1]))
         np.cumsum(each[back], axis=0, out=total[1:])
         total = total[rows[1:]] - total[rows[:-1]]
@@ -186,7 +206,8 @@ def train(docs: DataFrame, each: int = 300, most: int = 1 << 16, rounds: int = 3
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most) & ~held_out(F.col("doc_id")))
     rank = F.row_number().over(W.partitionBy("own").orderBy(F.xxhash64("doc_id"), "doc_id"))
     picked = known.select("doc_id", F.col("lang").alias("own")).withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id", "own").distinct()
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").where("lang = own AND text IS NOT NULL").select("lang", "text").toArrow()
+    same = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").where("lang = own AND text IS NOT NULL").where(F.octet_length("text") <= most)
+    rows = same.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text").toArrow()  # an id that repeats counts once
     by: dict[str, list[str]] = {}
     for lang, text in sorted(zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True)):
         by.setdefault(lang, []).append(text)
@@ -196,6 +217,9 @@ def train(docs: DataFrame, each: int = 300, most: int = 1 << 16, rounds: int = 3
     for lang in languages:
         points, first, back, _ = words(*text_view(pa.array(by[lang])))
         counts = np.bincount(back, minlength=len(first) - 1).astype(float)
+        short = np.flatnonzero(np.diff(first) <= LEARNED + 1)
+        points = np.concatenate([points[first[i] : first[i + 1]] for i in short] or [points[:0]])
+        counts, first = counts[short], np.append(0, np.cumsum(np.diff(first)[short]))
         own = np.full((len(vocabulary.code) + 1, 1), 1 / len(vocabulary.code))
         own[-1] = RARE
         for _ in range(rounds):

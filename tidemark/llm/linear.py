@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textops import LOWER, Words, code_points, mix, rolling, slices
+from tidemark.llm.textops import LOWER, Words, code_points, mix, rolling, runs, slices
 
 U = np.uint64
 
@@ -34,7 +34,7 @@ class Grams:
         if self.words:
             words = Words(data, offsets)
             for n in self.words:
-                parts.append((mix(rolling(words.code, n) + U(n)) >> shift, words.first, n))
+                parts.append((mix(runs(words.code, n) + U(n)) >> shift, words.first, n))
         parts = [(ids.astype(np.int32), first, n) for ids, first, n in parts]
         seen = np.zeros(1 << self.bits, np.int32)
         for i in range(len(offsets) - 1):
@@ -98,10 +98,9 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
     return x
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, grams: Grams, unit: bool, bayes: bool, l2: float, steps: int = 40, least: int = 3, most: int = 1 << 14) -> Model:
-    """Logistic regression on presence features; with bayes, each feature is scaled by its naive
-    Bayes log-count ratio. Features seen in `least` rows compete by ratio and frequency for `most`
-    places, which bounds the memory of the fit."""
+def fit(rows: list[np.ndarray], y: np.ndarray, grams: Grams, unit: bool, bayes: bool, l2: float, steps: int = 40) -> Model:
+    """Logistic regression on presence features, all of those that the rows have; with bayes, each feature is scaled by
+    its naive Bayes log-count ratio. Memory goes with the features of the rows, whose number sample() bounds."""
     size, y = 1 << grams.bits, np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
@@ -109,23 +108,25 @@ def fit(rows: list[np.ndarray], y: np.ndarray, grams: Grams, unit: bool, bayes:
     hit, miss = np.zeros(size), np.zeros(size)
     for r, label in zip(rows, y, strict=True):
         (hit if label == 1 else miss)[r] += 1
-    ratio = np.log((hit + 1) / (y.sum() + 2)) - np.log((miss + 1) / ((1 - y).sum() + 2))
-    worth = np.where(hit + miss >= least, np.abs(ratio) * np.sqrt(hit + miss), 0)
-    used = np.sort(np.argsort(-worth, kind="stable")[: min(most, int((worth > 0).sum()))])
-    place = np.full(size, -1, np.int32)
-    place[used] = np.arange(len(used))
-    kept = [place[r][place[r] >= 0] for r in rows]
-    ids, of = np.concatenate(kept), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in kept])
-    norm = (np.array([max(1, len(r)) for r in rows]) ** -0.5)[of] if unit else np.ones(len(ids))
-    scale = ratio[used] if bayes else np.ones(len(used))
-    norm = norm * scale[ids]
+    used = np.flatnonzero(hit + miss)
+    ratio = (np.log((hit + 1) / (y.sum() + 2)) - np.log((miss + 1) / ((1 - y).sum() + 2)))[used]
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    ids = place[np.concatenate(rows)]
+    n = np.array([len(r) for r in rows])
+    full = np.flatnonzero(n)
+    begin = (np.cumsum(n) - n)[full]
+    norm = np.maximum(n, 1) ** -0.5 if unit else np.ones(len(n))
+    scale = ratio if bayes else np.ones(len(used))
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(of, weights=v[ids] * norm, minlength=len(y)) + v[-1]
-        p = sigmoid(z)
-        off = (p - y) / len(y)
+        z = np.full(len(y), v[-1])
+        if len(full):
+            z[full] += np.add.reduceat((v[:-1] * scale).astype(np.float32)[ids], begin, dtype=np.float64) * norm[full]
+        off = (sigmoid(z) - y) / len(y)
         value = float(np.mean(np.logaddexp(0, z) - y * z)) + l2 / 2 * float(v[:-1] @ v[:-1])
-        return value, np.append(np.bincount(ids, weights=norm * off[of], minlength=len(used)) + l2 * v[:-1], off.sum())
+        slope = np.bincount(ids, weights=np.repeat((off * norm).astype(np.float32), n), minlength=len(used)) * scale
+        return value, np.append(slope + l2 * v[:-1], off.sum())
 
     v = minimise(loss, np.zeros(len(used) + 1), steps)
     weights = np.zeros(size, np.float32)
@@ -168,18 +169,20 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, each: int) -> DataFrame:
-    """(doc_id, text, label): up to `each` rows of either label that are not held out, the first by
-    a hash of the id. The bound lets the ids be broadcast; the documents are read once."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+def sample(docs: DataFrame, labels: DataFrame, label: str, each: int, most: int = 1 << 16) -> DataFrame:
+    """(doc_id, text, label): up to `each` labelled documents of either label that are not held out, the first by a hash of
+    the id, of at most `most` bytes; a longer or missing text teaches nothing. A doc_id that repeats counts once, with its
+    first text. The bound lets the ids be broadcast."""
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("label = 1").orderBy(*order).limit(each).unionAll(known.where("label = 0").orderBy(*order).limit(each))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    short = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= most)
+    return short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def features(rows: DataFrame, grams: Grams) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature ids (made on the executors, at most 2**bits a row) and labels, ordered by id."""
+    """Feature ids (made on the executors, at most as many a row as sample() allows bytes) and labels, ordered by id."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, "text"):

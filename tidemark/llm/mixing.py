@@ -4,7 +4,7 @@ Blocks of `block` words are dealt to sources by highest quotients target / (2k +
 source to its shards in the same way, which gives every shard an integer quota. A shard (a hash
 range of ids, about `shard_words` words) puts its documents into a seeded order, reads them as a
 circular stream of words and takes the first quota blocks of it: whole passes, then part of one.
-Only sizes are moved, never texts, and a hot source is spread over its shards.
+plan() moves sizes, never texts; a hot source, or a doc_id that repeats, is spread over the shards.
 
 A null text has size 0; a null source is a source of its own, the last one. Repeated rows count
 each. An empty table gives no rows. Extra columns are kept by mix() and ignored by plan().
@@ -51,7 +51,7 @@ def apportion(parties: DataFrame, within: list[str], key: list[str], votes: str,
     votes / (2k + 1). A party's share of the seats is off by at most share * parties / (2 * seats)
     seats and a rounding, so only the quotients that near decide; all before them win."""
     group = W.partitionBy(*within)
-    exact = F.col(votes) * F.col(seats) / F.sum(votes).over(group)
+    exact = F.try_divide(F.col(votes) * F.col(seats), F.sum(votes).over(group))  # a group may have no votes at all
     near = F.ceil(F.col("exact") * F.count(F.lit(1)).over(group) / (2 * F.greatest(F.col(seats), F.lit(1)))) + 2
     known = parties.withColumn("exact", F.coalesce(exact, F.lit(0.0))).withColumn("near", near)
     known = known.withColumn("sure", F.greatest(F.floor("exact") - F.col("near"), F.lit(0)))
@@ -65,12 +65,12 @@ def apportion(parties: DataFrame, within: list[str], key: list[str], votes: str,
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = 64, shard_words: int = 500_000, seed: int = 17) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): words of each document that the mix
     takes, repeats counted; at most MOST times its size. Equal on every run with one seed."""
-    sizes = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")))
+    sizes = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("print")))
     goals = targets(sizes, weights)
     goals = goals.withColumn("all", F.floor(F.sum("source_size").over(W.partitionBy()) / block)).withColumn("one", F.lit(0))
     goals = apportion(goals, ["one"], ["source"], "target", "all").drop("all", "one").withColumnRenamed("quota", "source_quota")
     goals = goals.withColumn("shards", F.ceil(F.col("source_size") / shard_words) + 1)
-    code = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    code = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("print").cast("string")))
     rows = sizes.withColumn("code", code).alias("d").join(goals.alias("g"), F.expr("d.source <=> g.source")).select("d.*", "source_size", "target", "source_quota", "shards")
     rows = rows.withColumn("shard", F.conv(F.substring("code", 1, 8), 16, 10).cast("long") % F.col("shards"))
     shards = rows.groupBy("source", "source_quota", "shard").agg(F.sum("size").alias("shard_size"))
@@ -85,9 +85,11 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = 64, s
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs that the mix takes, with `mix_words` (words taken, repeats counted). Rows
-    with one id are taken alike: each gets the id's mean."""
-    taken = plan(docs, **options).groupBy("doc_id", "size").agg(F.avg("taken").alias("mix_words"))
-    keyed = docs.withColumn("_size", n_words(F.col("text")))
-    joined = keyed.join(taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("size")))
-    return joined.where("mix_words > 0").select(*docs.columns, F.round("mix_words").cast("long").alias("mix_words"))
+    """The rows of docs that the mix takes, with `mix_words` (words taken, repeats counted), which replaces a column of
+    that name. Rows with one id and size are taken alike: each gets their mean. The plan moves no texts; joining it back
+    moves the rows of docs once."""
+    taken = plan(docs, **options).groupBy("doc_id", "size").agg(F.avg("taken").alias("taken"))
+    rows = docs.select(F.struct("*").alias("row"), n_words(F.col("text")).alias("words"))
+    joined = rows.join(taken, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size"))).where("taken > 0")
+    rest = [F.col("row")[c].alias(c) for c in docs.columns if c != "mix_words"]
+    return joined.select(*rest, F.round("taken").cast("long").alias("mix_words"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
 from tidemark.llm.shared import stored
-from tidemark.llm.textops import U, Words, mix, rolling, slices
+from tidemark.llm.textops import U, Words, mix, slices
 
 PLACES, BLOCK, BLOCK_SHINGLES, COLUMNS = 64, 1024, 1 << 20, 4096
 LAST = (1 << 63) - 1
@@ -255,5 +255,6 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, whose document is the first of its class."""
-    gone = classes(docs, shingle, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = classes(docs, shingle, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(gone, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("gone")), "left_anti").select("row.*")

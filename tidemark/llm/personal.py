@@ -125,7 +125,8 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in brackets; of overlapping spans the first stands
     for what it covers and the rest of the later ones goes too."""
-    marked = spans(docs)
+    marked = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    marked = spans(marked)
     ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["kind"])))
 
     def step(acc: Column, x: Column) -> Column:
@@ -133,6 +134,6 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
 
     folded = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    clean = marked.withColumn("_f", folded)
-    text = F.when(F.size("spans") > 0, F.concat(F.col("_f.out"), F.expr("substring(text, _f.at + 1)"))).otherwise(F.col("text"))
-    return clean.withColumn("text", text).select(*docs.columns)
+    clean = marked.withColumn("f", folded)
+    text = F.when(F.size("spans") > 0, F.concat(F.col("f.out"), F.expr("substring(text, f.at + 1)"))).otherwise(F.col("text"))
+    return clean.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -44,8 +44,12 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     with_word = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end = start[with_word], end[with_word]
     row = np.searchsorted(offsets, start, "right") - 1
-    repeated = again(row, range_hashes(data, start, end))[0]
-    lines = np.bincount(row[repeated], minlength=len(offsets) - 1)
+    several = np.flatnonzero(again(row, range_hashes(data, start, end))[1])
+    view, seen, lines = data.tobytes(), set(), np.zeros(len(offsets) - 1, np.int64)
+    for r, a, b in zip(row[several].tolist(), start[several].tolist(), end[several].tolist(), strict=True):
+        line = (r, view[a:b])
+        lines[r] += line in seen
+        seen.add(line)
     at, codes = words.windows(5)
     several = again(words.row()[at], codes)[1]
     twice = covered(len(words.start), at[several], at[several] + 5) if len(at) else np.zeros(len(words.start), bool)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, language, mixing, neardup, personal, quality, substring, suffixes, toxicity
@@ -51,12 +52,28 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(table(spark, sf_dir, "documents"))
 
 
+def streamed(log: DataFrame) -> DataFrame:
+    """The log of events in which turns come about, three of them each in one of three ways: a message and deltas, a draft that an
+    edit replaces, or a start that is regenerated and then goes on."""
+    text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    head, tail = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    order = W.partitionBy("conv_id", "turn").orderBy("role", "text")
+    event = lambda k, kind, said: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), said.alias("text"))
+    ways = F.array(
+        F.array(event(0, "message", head), event(1, "delta", tail)),
+        F.array(event(0, "message", F.concat(tail, F.lit("?"))), event(1, "edit", text)),
+        F.array(event(0, "message", tail), event(1, "regenerate", head), event(2, "delta", tail)),
+    )
+    which = (F.pmod(F.coalesce(F.col("conv_id") + F.col("turn"), F.lit(0)), F.lit(3)) + 1).cast("int")
+    rows = log.repartition("conv_id").withColumn("copy", F.row_number().over(order)).select("conv_id", "turn", "role", "copy", F.explode(F.element_at(ways, which)).alias("e"))
+    return rows.select("conv_id", "turn", (F.col("copy") * 3 + F.col("e.k")).alias("seq"), "e.kind", "role", "e.text")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    events = log.unionByName(extra).withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
-    out = chat.read_back(chat.render(chat.messages(events)))
+    out = chat.read_back(chat.render(chat.messages(streamed(log.unionByName(extra)))))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",

@@ -3,9 +3,9 @@
 1. Each chunk sketches its windows: DEPTH rows of cells, counts saturated at 2. Sketches are merged
    by ranges of cells; a cell's total is at least the count of every window in it. Width follows the
    size of the corpus (2**bits cells a row), so the share of false alarms stays put as it grows.
-2. Only windows whose every cell totals two or more are grouped, by a 128-bit key (64 + 64 bits from
-   independent polynomials), with the smallest doc_id of each. A window that occurs in two documents
-   is always among them, so none is lost.
+2. Only windows whose every cell totals two or more are grouped, by a 128-bit cryptographic digest of
+   their words, with the smallest doc_id of each. A window that occurs in two documents is always
+   among them, so none is lost.
 3. Each document drops the words covered by windows that also start in a smaller doc_id.
 
 Null and empty texts have no windows. Rows with equal ids never remove from each other; a null id
@@ -16,26 +16,42 @@ ignored by deduplicated(), which returns the kept text as well.
 from __future__ import annotations
 
 import hashlib
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.chunks import answered, corpus, dealt, ids, told
-from tidemark.llm.textops import BASE, SLICE_BYTES, U, Words, covered, mix, rolling, run_sums, text_view
+from tidemark.llm.textops import SLICE_BYTES, U, Words, covered, mix, run_sums, text_view
 
 DEPTH = 2
 
 
-def windows(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of every window of the chunk, in order."""
-    first, second = [], []
+def windows(rows: pa.Table, width: int) -> np.ndarray:
+    """A hash of every window of the chunk, in order; only the sketch goes by it."""
+    found = [words.windows(width)[1] for _, words in parts(rows)]
+    return np.concatenate(found) if found else np.empty(0, U)
+
+
+def digests(rows: pa.Table, width: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit BLAKE2b of the words themselves, joined by one space, for the windows that the mask picks."""
+    out, at = [], 0
     for _, words in parts(rows):
-        at, one = words.windows(width)
-        first.append(one)
-        two = rolling(mix(words.code ^ U(0x5BD1E995)), width, BASE)
-        second.append(mix(two[at]))
-    return (np.concatenate(first), np.concatenate(second)) if first else (np.empty(0, U), np.empty(0, U))
+        where = words.windows(width)[0]
+        first = where[some[at : at + len(where)]]
+        at += len(where)
+        if not len(first):
+            continue
+        size = words.end - words.start + 1
+        begin = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) + np.repeat(words.start - begin, size)
+        text = np.append(words.data, np.uint8(32))[place]
+        text[begin + size - 1] = 32
+        view, begin_, end_ = memoryview(text), begin[first].tolist(), (begin + size - 1)[first + width - 1].tolist()
+        out += [blake2b(view[a:b], digest_size=16).digest() for a, b in zip(begin_, end_, strict=True)]
+    both = np.frombuffer(b"".join(out), U).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def parts(rows: pa.Table) -> list[tuple[slice, Words]]:
@@ -63,9 +79,8 @@ def repeated(hashed: np.ndarray, answers: pa.Table, bits: int) -> np.ndarray:
 
 def entries(rows: pa.Table, answers: pa.Table, width: int, bits: int) -> tuple[np.ndarray, ...]:
     """(mask of windows, place of each masked window among the entries, key, key2, smallest id)."""
-    one, two = windows(rows, width)
-    sure = repeated(one, answers, bits)
-    one, two = one[sure], two[sure]
+    sure = repeated(windows(rows, width), answers, bits)
+    one, two = digests(rows, width, sure)
     counts = np.concatenate([np.maximum(0, w.counts - width + 1) for _, w in parts(rows)])
     doc = np.repeat(ids(rows), counts)[sure]
     order = np.lexsort((doc, two, one))
@@ -102,7 +117,7 @@ def deduplicated(docs: DataFrame, width: int = 50) -> DataFrame:
 
     def sketch(rows: pa.Table, _: object) -> list:
         sent = []
-        for row, cell in enumerate(cells(windows(rows, width)[0], bits)):
+        for row, cell in enumerate(cells(windows(rows, width), bits)):
             cell, n = np.unique(cell, return_counts=True)
             sent += [(row * shards + k, x) for k, x in dealt(cell, bits, shards, np.minimum(n, 2).astype(np.uint8))]
         return sent

@@ -6,6 +6,7 @@ partitioning. Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,10 @@ import pyarrow as pa
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C55)
 BASE2 = U(0xC2B2AE3D27D4EB4F)
-SLICE_BYTES = 1 << 20
+ODD = U(0xD6E8FEB86659FD93)
+#: Masks of the first n of eight bytes.
+TAIL = np.array([(1 << (8 * n)) - 1 for n in range(9)], U)
+SLICE_BYTES, LONG = 1 << 20, 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,7 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_CODE = mix(np.arange(256))
-BYTE_CODE2 = mix(np.arange(256) + 1000)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -105,31 +108,58 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             first = last
 
 
-def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray = BYTE_CODE, base: np.uint64 = BASE) -> np.ndarray:
-    """Hashes of the ascending byte ranges [start, end), made in blocks so that memory stays
-    bounded however long a row, a line or a word is."""
-    out, at, block = np.empty(len(start), U), 0, 2 * SLICE_BYTES
-    while at < len(out):
-        low = start[at]
-        if end[at] - low > block:
-            total, power = 0, 1
-            for piece in range(low, end[at], block):
-                part = prefix_hashes(code[data[piece : min(piece + block, end[at])]], base)[-1]
-                total, power = total + int(part) * power, power * pow(int(base), block, 1 << 64) % (1 << 64)
-            out[at], at = U(total % (1 << 64)), at + 1
-            continue
-        to = max(at + 1, int(np.searchsorted(end, low + block, "right")))
-        prefix = prefix_hashes(code[data[low : end[to - 1]]], base)
-        out[at:to] = between(prefix, start[at:to] - low, end[at:to] - low, base)
-        at = to
-    return mix(out)
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges [start, end): eight bytes at a time go through a mixing function that is not linear; a range of more than
+    LONG bytes is a keyless BLAKE2b of 64 bits. Memory stays at some words for each range."""
+    size = end - start
+    out = mix(size)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at, left, some = start.copy(), size.copy(), np.flatnonzero((size > 0) & (size <= LONG))
+    while len(some):
+        word = eight(padded, at[some])
+        n = np.minimum(left[some], 8)
+        out[some] = mix((out[some] * ODD) ^ (word & TAIL[n]))
+        at[some] += 8
+        left[some] -= 8
+        some = some[left[some] > 0]
+    if (size > LONG).any():
+        view = memoryview(np.ascontiguousarray(data))
+        for i in np.flatnonzero(size > LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(view[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def eight(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as a number, the first one lowest; padded has eight bytes more than it needs."""
+    whole = np.ndarray((max(0, len(padded) - 7),), "<u8", padded, 0, (1,)) if len(padded) > 7 else np.zeros(1, U)
+    return whole[at]
+
+
+def runs(codes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of width codes, by doubling through a mixing function that is not linear; empty if there are fewer."""
+    n = len(codes) - width + 1
+    if n <= 0:
+        return np.empty(0, U)
+    now, size, out, done = codes, 1, None, 0
+    while size <= width:
+        if width & size:
+            if out is None:
+                out = now
+            else:
+                m = len(now) - done
+                out = mix((out[:m] * ODD) ^ now[done:])
+            done += size
+        if 2 * size <= width:
+            now = mix((now[:-size] * ODD) ^ now[size:])
+        size *= 2
+    return out[:n]
 
 
 class Words:
     """Words of a slice: byte ranges [start, end), the first word of each row in `first`
     (one entry more than rows) and the 64-bit hash of each word in `code`."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, code: np.ndarray = BYTE_CODE, base: np.uint64 = BASE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         solid = ~_SPACE[data]
         before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
         before[1:], after[:-1] = solid[:-1], solid[1:]
@@ -140,21 +170,17 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.counts = np.diff(self.first)
         self.data = LOWER[data] if lower else data
-        self.code = self.hashes(code, base)
-
-    def hashes(self, code: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
-        """Hash of each word under a table of byte codes; long slices go in blocks of words."""
-        return range_hashes(self.data, self.start, self.end, code, base)
+        self.code = range_hashes(self.data, self.start, self.end)
 
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def windows(self, width: int, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and hashes of the windows of width words that stay inside a row."""
-        hashed = rolling(self.code if code is None else code, width)
+        hashed = runs(self.code, width)
         room = np.repeat(self.first[1:], self.counts)[: len(hashed)]
         at = np.flatnonzero(np.arange(len(hashed)) + width <= room)
-        return at, mix(hashed[at])
+        return at, hashed[at]
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
