@@ -80,6 +80,15 @@ def test_toxicity(spark, tables, awkward):
     assert toxicity.score(awkward.limit(0), model).count() == 0
 
 
+def test_toxic_rows_are_found(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    label = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [r for r in toxicity.score(docs.join(labels.select("doc_id"), "doc_id"), toxicity.train(docs, labels)).collect() if r.held_out]
+    toxic = [r.predicted for r in held if label[r.doc_id] == 1]
+    clean = [r.predicted for r in held if label[r.doc_id] == 0]
+    assert len(toxic) > 80 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+
+
 def test_bayes_ratios_and_learning():
     grams = Grams(chars=(3,), bits=12)
     texts = [f"nice day {i}" for i in range(30)] + [f"vile day {i}" for i in range(30)]

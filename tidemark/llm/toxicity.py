@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.linear import Grams, Model, calibrated, features, held_out, sample, share
 from tidemark.llm.textops import slices
 
-GRAMS = Grams(chars=(4, 6, 8), bits=20)
+GRAMS = Grams(chars=(3, 4, 5, 6), bits=20)
 
 
-def train(docs: DataFrame, labels: DataFrame, each: int = 1000) -> Model:
-    """Fits on up to `each` rows of either label that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, each: int = 1000, weight: float = 2.5) -> Model:
+    """Fits on up to `each` rows of either label that are not held out. A toxic row that is not found counts as much as
+    `weight` false alarms, so scores are calibrated for toxic rows that many times as frequent as they are."""
     rows, y = features(sample(docs, labels, "toxic", each), GRAMS)
-    return calibrated(rows, y, GRAMS, unit=False, bayes=True, l2=1e-3, prior=share(labels, "toxic"))
+    known = share(labels, "toxic")
+    return calibrated(rows, y, GRAMS, unit=False, bayes=True, l2=1e-3, prior=weight * known / (weight * known + 1 - known))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
