@@ -90,17 +90,26 @@ class Lattice:
         self.order = np.argsort(-size, kind="stable")
         self.first, self.size = first[:-1][self.order], size[self.order]
         self.longest = int(size.max()) if len(size) else 0
-        self.number = vocabulary.numbers(points)
+        self.pieces = vocabulary.longest
+        rank = np.empty(len(size), np.int32)
+        rank[self.order] = np.arange(len(size), dtype=np.int32)
+        row, left = np.repeat(rank, size), np.repeat(first[1:], size) - np.arange(first[-1] if len(size) else 0)
+        end, found = np.arange(len(row)) - np.repeat(first[:-1], size), []
+        for n, number in enumerate(vocabulary.numbers(points), 1):
+            some = np.flatnonzero((number >= 0) & (left >= n)) if n > 1 else np.arange(len(row))
+            found.append(((end[some] + n) * (self.pieces + 1) + n, row[some], number[some]))
+        key, row, number = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(key, kind="stable")
+        self.row, self.number, key = row[order], number[order], key[order]
+        edge = np.flatnonzero(np.diff(key, prepend=-1))
+        self.steps: list[list[tuple[int, int, int]]] = [[] for _ in range(self.longest + 1)]
+        for k, a, b in zip(key[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(key)], strict=True):
+            self.steps[k // (self.pieces + 1)].append((k % (self.pieces + 1), a, b))
 
     def ending(self, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, rows, piece numbers) of the pieces that end at a character; single ones without a piece have number -1."""
-        rows = int(np.searchsorted(-self.size, -end, "right"))
-        for n in range(1, min(end, len(self.number)) + 1):
-            number = self.number[n - 1][self.first[:rows] + end - n]
-            if n == 1:
-                yield n, np.arange(rows), number
-            elif (some := np.flatnonzero(number >= 0)).size:
-                yield n, some, number[some]
+        for n, a, b in self.steps[end]:
+            yield n, self.row[a:b], self.number[a:b]
 
     def logs(self, p: np.ndarray) -> np.ndarray:
         """Log-probability of each word under each language, in the words' own order; p has a last row for characters
@@ -112,7 +121,7 @@ class Lattice:
             now = np.zeros((rows, p.shape[1]))
             for n, some, number in self.ending(end):
                 now[some] += ring[n - 1][some] * p[number]
-            ring = [now, *(x[:rows] for x in ring[: len(self.number) - 1])]
+            ring = [now, *(x[:rows] for x in ring[: self.pieces - 1])]
             if end % RESCALE == 0:
                 scale[:rows] += np.log(now)
                 ring = [x / now for x in ring]

@@ -3,9 +3,9 @@
 1. Each chunk sketches its windows: DEPTH rows of cells, counts saturated at 2. Sketches are merged
    by ranges of cells; a cell's total is at least the count of every window in it. Width follows the
    size of the corpus (2**bits cells a row), so the share of false alarms stays put as it grows.
-2. Only windows whose every cell totals two or more are grouped, by a 128-bit cryptographic digest of
-   their words, with the smallest doc_id of each. A window that occurs in two documents is always
-   among them, so none is lost.
+2. Only windows whose every cell totals two or more are grouped, by 128 bits: the hash of the sketch,
+   which is not linear, and 64 bits of a BLAKE2b of their words, with the smallest doc_id of each. A
+   window that occurs in two documents is always among them, so none is lost.
 3. Each document drops the words covered by windows that also start in a smaller doc_id.
 
 Null and empty texts have no windows. Rows with equal ids never remove from each other; a null id
@@ -34,8 +34,8 @@ def windows(rows: pa.Table, width: int) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, U)
 
 
-def digests(rows: pa.Table, width: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two halves of a 128-bit BLAKE2b of the words themselves, joined by one space, for the windows that the mask picks."""
+def digests(rows: pa.Table, width: int, some: np.ndarray) -> np.ndarray:
+    """64 bits of a BLAKE2b of the words themselves, joined by one space, for the windows that the mask picks."""
     out, at = [], 0
     for _, words in parts(rows):
         where = words.windows(width)[0]
@@ -49,9 +49,8 @@ def digests(rows: pa.Table, width: int, some: np.ndarray) -> tuple[np.ndarray, n
         text = np.append(words.data, np.uint8(32))[place]
         text[begin + size - 1] = 32
         view, begin_, end_ = memoryview(text), begin[first].tolist(), (begin + size - 1)[first + width - 1].tolist()
-        out += [blake2b(view[a:b], digest_size=16).digest() for a, b in zip(begin_, end_, strict=True)]
-    both = np.frombuffer(b"".join(out), U).reshape(-1, 2)
-    return both[:, 0].copy(), both[:, 1].copy()
+        out += [blake2b(view[a:b], digest_size=8).digest() for a, b in zip(begin_, end_, strict=True)]
+    return np.frombuffer(b"".join(out), U)
 
 
 def parts(rows: pa.Table) -> list[tuple[slice, Words]]:
@@ -77,13 +76,19 @@ def repeated(hashed: np.ndarray, answers: pa.Table, bits: int) -> np.ndarray:
     return sure
 
 
-def entries(rows: pa.Table, answers: pa.Table, width: int, bits: int) -> tuple[np.ndarray, ...]:
-    """(mask of windows, place of each masked window among the entries, key, key2, smallest id)."""
-    sure = repeated(windows(rows, width), answers, bits)
-    one, two = digests(rows, width, sure)
+def entries(rows: pa.Table, answers: pa.Table, width: int, bits: int, known: int | None = None) -> tuple[np.ndarray, ...]:
+    """(mask of windows, place of each masked window among the entries, key, key2, smallest id). If the number of entries is
+    known and there are as many hashes, every hash has one digest, and digests need not be made again."""
+    hashed = windows(rows, width)
+    sure = repeated(hashed, answers, bits)
+    one = hashed[sure]
     counts = np.concatenate([np.maximum(0, w.counts - width + 1) for _, w in parts(rows)])
     doc = np.repeat(ids(rows), counts)[sure]
-    order = np.lexsort((doc, two, one))
+    order = np.lexsort((doc, one))
+    two = np.zeros(len(one), U)
+    if known is None or known != int((np.diff(one[order]) != 0).sum()) + (len(one) > 0):
+        two = digests(rows, width, sure)
+        order = np.lexsort((doc, two, one))
     one, two, doc = one[order], two[order], doc[order]
     new = np.ones(len(one), bool)
     new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
@@ -126,8 +131,8 @@ def deduplicated(docs: DataFrame, width: int = 50) -> DataFrame:
         return dealt(*(lambda e: (e[2], 64, shards, e[3], e[4]))(entries(rows, answers, width, bits)))
 
     def cut(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        sure, place, _, _, least = entries(rows, answers, width, bits)
         later = told(answers, DEPTH).astype(bool)
+        sure, place, _, _, least = entries(rows, answers, width, bits, len(later))
         own, n_words, n_removed, digest, kept = ids(rows), [], [], [], []
         at = used = 0
         for part, words in parts(rows):
