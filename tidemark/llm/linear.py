@@ -7,12 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.textops import LOWER, Words, code_points, mix, rolling, runs, slices
 
 U = np.uint64
+#: Features that a step of the fit looks at together.
+AT_ONCE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -66,7 +69,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int, memory: int = 4) -> np.ndarray:
     """Limited-memory quasi-Newton descent with backtracking."""
     value, slope = f(x)
     past: list[tuple[np.ndarray, np.ndarray]] = []
@@ -98,7 +101,7 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
     return x
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, grams: Grams, unit: bool, bayes: bool, l2: float, steps: int = 40) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray, grams: Grams, unit: bool, bayes: bool, l2: float, steps: int = 25) -> Model:
     """Logistic regression on presence features, all of those that the rows have; with bayes, each feature is scaled by
     its naive Bayes log-count ratio. Memory goes with the features of the rows, whose number sample() bounds."""
     size, y = 1 << grams.bits, np.asarray(y, float)
@@ -112,21 +115,23 @@ def fit(rows: list[np.ndarray], y: np.ndarray, grams: Grams, unit: bool, bayes:
     ratio = (np.log((hit + 1) / (y.sum() + 2)) - np.log((miss + 1) / ((1 - y).sum() + 2)))[used]
     place = np.zeros(size, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    ids = place[np.concatenate(rows)]
     n = np.array([len(r) for r in rows])
-    full = np.flatnonzero(n)
-    begin = (np.cumsum(n) - n)[full]
     norm = np.maximum(n, 1) ** -0.5 if unit else np.ones(len(n))
-    scale = ratio if bayes else np.ones(len(used))
+    scale, blocks = ratio if bayes else np.ones(len(used)), []
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(n) // AT_ONCE)) + 1):
+        part = part[n[part] > 0]
+        if len(part):
+            blocks.append((part, np.concatenate([place[rows[i]] for i in part]), np.cumsum(n[part]) - n[part]))
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.full(len(y), v[-1])
-        if len(full):
-            z[full] += np.add.reduceat((v[:-1] * scale).astype(np.float32)[ids], begin, dtype=np.float64) * norm[full]
+        z, weights, slope = np.full(len(y), v[-1]), (v[:-1] * scale).astype(np.float32), np.zeros(len(used))
+        for part, ids, begin in blocks:
+            z[part] += np.add.reduceat(weights[ids], begin, dtype=np.float64) * norm[part]
         off = (sigmoid(z) - y) / len(y)
         value = float(np.mean(np.logaddexp(0, z) - y * z)) + l2 / 2 * float(v[:-1] @ v[:-1])
-        slope = np.bincount(ids, weights=np.repeat((off * norm).astype(np.float32), n), minlength=len(used)) * scale
-        return value, np.append(slope + l2 * v[:-1], off.sum())
+        for part, ids, _ in blocks:
+            slope += np.bincount(ids, weights=np.repeat((off * norm)[part], n[part]), minlength=len(used))
+        return value, np.append(slope * scale + l2 * v[:-1], off.sum())
 
     v = minimise(loss, np.zeros(len(used) + 1), steps)
     weights = np.zeros(size, np.float32)
@@ -189,6 +194,6 @@ def features(rows: DataFrame, grams: Grams) -> tuple[list[np.ndarray], np.ndarra
             ids = pa.array([x.astype(np.int32).tobytes() for x in grams.rows(data, offsets)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), ids, part.column(1)], ["doc_id", "ids", "label"])
 
-    got = rows.select("doc_id", "label", "text").mapInArrow(make, "doc_id bigint, ids binary, label int").collect()
-    got.sort(key=lambda r: (r.doc_id, bytes(r.ids)))
-    return [np.frombuffer(bytes(r.ids), np.int32) for r in got], np.array([r.label for r in got])
+    got = rows.select("doc_id", "label", "text").mapInArrow(make, "doc_id bigint, ids binary, label int").toArrow()
+    got = got.take(pc.sort_indices(got, [("doc_id", "ascending")]))
+    return [np.frombuffer(x.as_buffer(), np.int32) for x in got["ids"]], got["label"].to_numpy()
