@@ -31,7 +31,7 @@ from tidemark.llm.graph import components
 from tidemark.llm.shared import stored
 from tidemark.llm.textops import U, Words, mix, slices
 
-PLACES, BLOCK, BLOCK_SHINGLES, COLUMNS = 64, 1024, 1 << 20, 4096
+PLACES, BLOCK, BLOCK_SHINGLES, COLUMNS, SALTS = 64, 1024, 1 << 20, 4096, 16
 LAST = (1 << 63) - 1
 
 
@@ -137,13 +137,19 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 
 def across(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between different labels of one hub's members (hub, id, label, main, size), found
-    exactly: the members that are not of the hub's own component meet all others, in pairs of blocks
-    of at most BLOCK members and about BLOCK_SHINGLES shingles. A pair of blocks returns no more
-    links than it has labels."""
-    blocks = lambda w: F.ceil(F.greatest(F.count(F.when(w, 1)) / BLOCK, F.sum(F.when(w, F.col("size")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
-    shape = members.groupBy("hub").agg(blocks(~F.col("main")).alias("others"), blocks(F.col("main")).alias("mains")).where("others > 0")
-    m = members.join(shape, "hub").withColumn("own", F.pmod(F.hash("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
+    """Links (a, b) between different labels of one hub's members (hub, id, label, size), found
+    exactly: the members that are not of the hub's own component (main) meet all others, in pairs of
+    blocks of at most BLOCK members and about BLOCK_SHINGLES shingles. A pair of blocks returns no more
+    links than it has labels. Members are counted by hub and label before they are by hub, and the
+    counts go back to them by salted keys: no task sees all members of a large hub."""
+    n, s, main = F.sum("n"), F.sum("s"), F.max(F.when(F.col("own"), F.struct("label", "n", "s")))
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    each = members.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), F.max(F.col("id") == F.col("hub")).alias("own"))
+    shape = each.groupBy("hub").agg(n.alias("n"), s.alias("s"), main.alias("main"))
+    shape = shape.select("hub", F.col("main.label").alias("hub_label"), blocks(F.col("main.n"), F.col("main.s")).alias("mains"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("others"))
+    shape = shape.where("others > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    m = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(shape, ["hub", "salt"]).withColumn("main", F.col("label") == F.col("hub_label"))
+    m = m.withColumn("own", F.pmod(F.hash("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
     m = m.withColumn("own", F.when(F.col("main"), F.col("own") + F.col("others")).otherwise(F.col("own")))
     last = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), last))).join(texts, "id")
@@ -225,9 +231,8 @@ def links(docs: DataFrame, nodes: DataFrame, same: DataFrame, shingle: int, perc
     edges = stored(confirmed(fitting(pairs, sizes, percent), texts, shingle, percent).unionAll(same))
     labels = components(edges)
     named = star.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    hubs = labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
-    named = named.join(hubs, "hub", "left").withColumn("main", F.col("label") == F.coalesce("hub_label", "hub")).join(sizes.withColumnRenamed("n_shingles", "size"), "id")
-    more = stored(across(named.select("hub", "id", "label", "main", "size"), texts, shingle, percent))
+    named = named.join(sizes.withColumnRenamed("n_shingles", "size"), "id")
+    more = stored(across(named.select("hub", "id", "label", "size"), texts, shingle, percent))
     edges = edges.unionAll(more)
     return edges, components(edges, labels, more)
 
