@@ -15,6 +15,7 @@ from tidemark.operators import vectors as ann
 from tidemark.operators.adapters import family
 from tidemark.plans.ingest_queries import FOCUS_SQL, focus_history
 from tidemark.plans.registry import query
+from tidemark.plans.stem_sql import stemmed_sql
 from tidemark.sources.storage import scratch, stored
 from tidemark.sources.tables import CHUNK_SQL, chunks, domain, table
 
@@ -80,12 +81,16 @@ def _(spark, sf_dir):
     return search.matched(asked(spark, sf_dir), chunks(spark, sf_dir))
 
 
-POSTING_SQL = f"""toks AS (SELECT doc_id, list_concat({words_sql('lower(text)')}, {words_sql('lower(' + aliases_sql('text') + ')')}) AS t FROM chunks),
-  post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY term, doc_id)"""
+PLAIN_SQL = "strip_accents(lower({}))"
+POSTING_SQL = f"""toks AS (SELECT doc_id, list_concat({words_sql(PLAIN_SQL.format('text'))}, {words_sql(PLAIN_SQL.format(aliases_sql('text')))}) AS t FROM chunks),
+  {stemmed_sql('known', 'SELECT unnest(t) AS word FROM toks')},
+  post AS (SELECT stem AS term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS word FROM toks) JOIN known USING (word) GROUP BY stem, doc_id)"""
 
 
 def bm25_sql(asked: str, k: int) -> str:
-    return f"""{CHUNK_SQL}, {QUESTION_SQL}, {POSTING_SQL}, asked AS (SELECT q_id, unnest({terms_sql('question')}) AS term FROM question WHERE {asked}),
+    said = f"SELECT q_id, unnest({terms_sql(PLAIN_SQL.format('question'))}) AS word FROM question WHERE {asked}"
+    return f"""{CHUNK_SQL}, {QUESTION_SQL}, {POSTING_SQL}, said AS ({said}), {stemmed_sql('sought', 'SELECT word FROM said')},
+  asked AS (SELECT q_id, stem AS term FROM said JOIN sought USING (word)),
   total AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM toks), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
   part AS (SELECT p.term, p.doc_id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / mean)) AS part FROM post p JOIN df USING (term) JOIN toks USING (doc_id), total),
   scored AS (SELECT q_id, doc_id, round(sum(part), 6) AS score FROM asked JOIN part USING (term) GROUP BY q_id, doc_id),
