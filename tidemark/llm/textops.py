@@ -155,6 +155,28 @@ def runs(codes: np.ndarray, width: int) -> np.ndarray:
     return out[:n]
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges [start, end) of the maximal runs of bytes that the mask takes for solid, none over a row's end, and the
+    first run of each row (one entry more than rows)."""
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = solid[:-1], solid[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    before[inner], after[inner - 1] = False, False
+    start, end = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+    return start, end, np.searchsorted(start, offsets)
+
+
+def gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte ranges one after the other, each followed by a space, and where each begins (one entry more than ranges)."""
+    size = end - start + 1
+    begin = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=begin[1:])
+    place = np.arange(begin[-1]) + np.repeat(start - begin[:-1], size)
+    text = np.append(data, np.uint8(32))[place]
+    text[begin[1:] - 1] = 32
+    return text, begin
+
+
 class Words:
     """Words of a slice: byte ranges [start, end), the first word of each row in `first`
     (one entry more than rows) and the 64-bit hash of each word in `code`."""
