@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, language, linededup, mixing, neardup, personal, quality, substring, suffixes, toxicity
+from tidemark.llm import chat, decontaminate, language, linededup, mixing, neardup, periods, personal, quality, substring, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periods.detect(docs.withColumn("text", periods.planted(docs.doc_id, docs.text)), text=False)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -95,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_language, op4_near_dedup, op5_mixing, op6_personal_data, op7_substring_dedup, op8_toxicity, op9_quality, op10_chat_format, op12_line_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_language, op4_near_dedup, op5_mixing, op6_personal_data, op7_substring_dedup, op8_toxicity, op9_quality, op10_chat_format, op11_periodic_runs, op12_line_dedup, pipeline)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
