@@ -101,11 +101,12 @@ def scanned(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[p
     """(batch, words of each row, buckets of its features): features of all rows after one another, words before pairs in each block."""
     for batch, data, offsets in slices(batches, "text", BLOCK_BYTES):
         plain = data.tobytes().translate(PLAIN)
+        texts = [plain[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         if not plain.strip():
             yield batch, np.zeros(batch.num_rows, np.int64), np.empty((2, 0), np.int64)
             continue
-        known = Dictionary(plain)
-        each = [known.scan(f" {plain[a:b].decode()} ") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        known = Dictionary(b" ".join(texts))
+        each = [known.scan(f" {text.decode()} ") for text in texts]
         word = np.concatenate(each)
         n = np.fromiter(map(len, each), np.int64, len(each))
         bucket = np.stack([(known.crc % np.uint32(buckets))[word], np.append(known.pairs(word) % np.uint32(buckets), np.uint32(0))]).astype(np.int64)
