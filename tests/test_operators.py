@@ -279,16 +279,6 @@ def test_batches_are_written_once(spark, tmp_path):
     assert sessions.whole_batches(spark, str(tmp_path), "all").count() == 5 and spark.read.parquet(str(tmp_path / "even")).count() == 3
 
 
-def test_cell_search_recall(spark, sf_dir):
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = v.where("id % 20 = 0").select(F.col("id").alias("q_id"), F.col("vector").alias("probe"))
-    exact = {(r.q_id, r.id) for r in search.knn(q, v.withColumn("family", F.lit("f")), 10).collect()}
-    got = [(r.q_id, r.id) for r in vectors.ivf_search(q, v, 10, vectors.cells(v, 128), 36).collect()]
-    assert len(exact & set(got)) / len(exact) >= 0.9 and len(got) == len(set(got)) == len(exact)
-    with pytest.raises(Exception, match="must have 3 numbers"):
-        search.of_width(v, 3).collect()
-
-
 def test_embeddings(spark):
     e = vectors.embedded(spark.createDataFrame([(1, "a b a"), (2, "A, b a!"), (3, "")], "id long, text string"), 16).orderBy("id").collect()
     assert e[0].vector == e[1].vector and sum(x * x for x in e[0].vector) == pytest.approx(1, abs=1e-5) and set(e[2].vector) == {0.0}

@@ -1,17 +1,15 @@
-"""Embeddings and approximate search."""
+"""Embeddings, and what becomes of them when the model changes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import search
 from tidemark.operators.search import tokens
+from tidemark.operators.vector_index import VectorIndex
 
 
 def embedded(texts: DataFrame, width: int = 64) -> DataFrame:
@@ -36,66 +34,17 @@ def fragments(store: DataFrame) -> DataFrame:
     return store.select("family", F.input_file_name().alias("file")).groupBy("family").agg(F.countDistinct("file").alias("fragments"), F.count(F.lit(1)).alias("n"))
 
 
+def reembedded(index: VectorIndex, texts: DataFrame, model_id: str, embed: Callable[[DataFrame], DataFrame]) -> list[str]:
+    """Embeds the texts (id, family, text) of the families that another model embedded, and puts each family's new vectors and
+    the model's id in the place of the old ones in one step. Other families and those never indexed are not read. Returns the
+    families done; a family has its old vectors until its new ones are all there, so a pass that was broken off is run again."""
+    done = []
+    for row in stale(index.families(), index.families(), model_id).orderBy("family").collect():  # families are a fixed handful
+        index.replace(row.family, embed(texts.where(F.col("family") == row.family).select("id", "text")), model_id)
+        done.append(row.family)
+    return done
+
+
 def stale(families: DataFrame, meta: DataFrame, model_id: str) -> DataFrame:
     """Families (family) that were indexed with another model; those never indexed are left alone."""
     return families.join(meta.where(F.col("model_id") != model_id).select("family"), "family", "left_semi")
-
-
-def cells(vectors: DataFrame, n: int, sample: int = 20_000, rounds: int = 10, seed: int = 11) -> np.ndarray:
-    """n centres by k-means on at most `sample` vectors, the first by a hash of the id."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
-    x = np.array(rows["vector"].to_pylist(), np.float32)
-    if not len(x):
-        return np.zeros((0, 0), np.float32)
-    rng = np.random.default_rng(seed)
-    centres = x[rng.permutation(len(x))[: min(n, len(x))]].copy()
-    for _ in range(rounds):
-        own = nearest(x, centres, 1)[:, 0]
-        for k in range(len(centres)):
-            if (own == k).any():
-                centres[k] = x[own == k].mean(axis=0)
-    return centres
-
-
-def nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
-    far = (centres * centres).sum(axis=1) - 2 * x @ centres.T
-    return np.argsort(far, axis=1, kind="stable")[:, :k]
-
-
-def assigned(vectors: DataFrame, centres: np.ndarray, k: int, column: str = "vector") -> DataFrame:
-    """vectors with `cell`, a row for each of the k nearest centres. The centres are few by choice and are broadcast."""
-    shared = vectors.sparkSession.sparkContext.broadcast(centres)
-    place = vectors.columns.index(column)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                values = batch.column(place)
-                x = values.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                cell = nearest(x.astype(np.float32), shared.value, k)
-                take = pa.array(np.repeat(np.arange(batch.num_rows), cell.shape[1]))
-                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array(cell.reshape(-1).astype(np.int32))], [*batch.schema.names, "cell"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
-    return vectors.mapInArrow(assign, f"{fields}, cell int")
-
-
-def ivf_search(probes: DataFrame, vectors: DataFrame, k: int, centres: np.ndarray, visits: int, copies: int = 2, salt: int = 8) -> DataFrame:
-    """(q_id, id, distance, rank): the k nearest vectors (id, vector) of each probe (q_id, probe) among the `visits` cells nearest
-    to it. Every vector is indexed, in the `copies` cells nearest to it. Cells are salted, so that a crowded one is spread
-    over `salt` tasks; each yields its k best, then the best of those win."""
-    indexed = assigned(vectors.select(F.col("id").cast("bigint"), "vector"), centres, copies).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
-    asked = assigned(probes.select(F.col("q_id").cast("bigint"), "probe"), centres, visits, "probe").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-
-    def visit(ask: pa.Table, own: pa.Table) -> pa.Table:
-        of = near = far = np.empty(0, np.int64)
-        if ask.num_rows and own.num_rows:
-            q, ids = ask["q_id"].to_numpy(), own["id"].to_numpy()
-            of, near, far = search.nearest(search.matrix(ask["probe"].combine_chunks(), len(q)), search.matrix(own["vector"].combine_chunks(), len(ids)), ids, k)
-            of, near = q[of], ids[near]
-        return pa.table({"q_id": pa.array(of, pa.int64()), "id": pa.array(near, pa.int64()), "distance": pa.array(far, pa.float64())})
-
-    near = asked.groupBy("cell", "salt").cogroup(indexed.groupBy("cell", "salt")).applyInArrow(visit, "q_id bigint, id bigint, distance double")
-    order = W.partitionBy("q_id").orderBy("distance", "id")
-    few = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= copies * k).select("q_id", "id", "distance").distinct()
-    return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

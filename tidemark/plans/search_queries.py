@@ -13,10 +13,11 @@ from tidemark.operators import monitor, search
 from tidemark.operators import relational as rel
 from tidemark.operators import vectors as ann
 from tidemark.operators.adapters import family
+from tidemark.operators.vector_index import VectorIndex
 from tidemark.plans.ingest_queries import FOCUS_SQL, focus_history
 from tidemark.plans.registry import query
 from tidemark.plans.stem_sql import stemmed_sql
-from tidemark.sources.storage import scratch, stored
+from tidemark.sources.storage import kept, scratch, stored
 from tidemark.sources.tables import CHUNK_SQL, chunks, domain, table
 
 FIXED = (
@@ -428,11 +429,22 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", search.token_count(F.col("text")).alias("tokens"))
 
 
+def dense_index(spark, sf_dir):
+    """The index over all vectors, built once from the files of the tables and read by later queries; half of the vectors are an insert
+    of their own."""
+
+    def build(path):
+        v = vectors(spark, sf_dir)
+        index = VectorIndex.create(v, path)
+        index.insert(v.where("id % 2 = 0"), "given")
+        index.insert(v.where("id % 2 = 1"), "given")
+
+    return VectorIndex(spark, kept(spark, "dense", [f"{sf_dir}/embeddings.parquet", f"{sf_dir}/documents.parquet"], build))
+
+
 @query("vec04_ivf_search")
 def _(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    asked_ = v.where("id % 20 = 0").select(F.col("id").alias("q_id"), F.col("vector").alias("probe"))
-    return ann.ivf_search(asked_, v, 10, ann.cells(v, 128), 36)
+    return dense_index(spark, sf_dir).search(probe_set(spark, sf_dir), 10, visits=24, refine=50).select("q_id", "id", "distance", "rank")
 
 
 @query("vec01_embedded_chunks")
@@ -447,6 +459,22 @@ def _(spark, sf_dir):
     return ann.stale(f.select("family"), meta, "new")
 
 
+@query("vec08_reembedded", f"""WITH {CHUNK_SQL}, f AS (SELECT domain AS family, max(doc_id) % 2 = 0 AS old, count(*) AS texts, count(vec_id) AS given FROM chunks LEFT JOIN embeddings ON vec_id = doc_id GROUP BY domain)
+  SELECT family, 'new' AS model_id, CASE WHEN old THEN 2 ELSE 1 END AS generation, CASE WHEN old THEN texts ELSE given END AS n, CASE WHEN old THEN 0 ELSE given END AS n_given FROM f WHERE family <> 'external_documents'""")
+def _(spark, sf_dir):
+    c = chunks(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("domain").alias("family"), "text")
+    given = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    old = c.groupBy("family").agg(F.max("id").alias("d")).where("family <> 'external_documents'").select("family", (F.col("d") % 2 == 0).alias("old"))
+    rows = stored(given.join(c.drop("text"), "id").join(old, "family"))  # one domain was never indexed
+    index = VectorIndex.create(rows, scratch(spark))
+    for was, model_id in ((True, "old"), (False, "new")):
+        index.insert(rows.where(F.col("old") == was), model_id)
+    ann.reembedded(index, c, "new", lambda texts: ann.embedded(texts, index.width))
+    now = index.vectors().alias("v").join(given.alias("g"), F.expr("v.id = g.id AND v.vector = g.vector"), "left")
+    n = now.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count("g.id").alias("n_given"))
+    return index.families().join(n, "family").select("family", "model_id", "generation", "n", "n_given")
+
+
 @query("vec13_fragments", f"WITH {VECTOR_SQL} SELECT family, count(DISTINCT id // 100) AS fragments, count(*) AS n FROM vec GROUP BY family")
 def _(spark, sf_dir):
     v = vectors(spark, sf_dir).select("id", "family", F.floor(F.col("id") / 100).alias("batch"))  # each hundred is an insert of its own

@@ -5,8 +5,10 @@ Paths go through Hadoop's file system layer, so any store that Spark reads will
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,27 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[str], object]) -> str:
+    """The folder of something that is built from files once and read by all later queries, in other applications too where the
+    shared folder is the same. Its name holds the sources' files, their sizes and times, so changed sources are built anew; it
+    is there once it is whole, and of two builders at a time one wins."""
+    seen = []
+    for source in sources:
+        fs, at = file_system(spark, source)
+        found = fs.listFiles(at, True)
+        while found.hasNext():
+            x = found.next()
+            seen.append(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}")
+    path = f"{folder(spark)}/tidemark-kept/{name}-{hashlib.sha256(chr(10).join([name, *sorted(seen)]).encode()).hexdigest()[:32]}"
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
+        own = scratch(spark)
+        build(own)
+        fs.mkdirs(at.getParent())
+        fs.rename(file_system(spark, own)[1], at)
+    return path
+
+
 def file_system(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
