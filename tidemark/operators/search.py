@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.privacy import defused, wrapped
-from tidemark.functions.stem import folded, stems
+from tidemark.functions.stem import folded
 
 K1, B, LEAST_IDF, RRF, FAR = 1.2, 0.75, 1e-6, 60.0, 2.0
 MAX_DISTANCE, MIN_KEYWORDS, TOP, FETCH = 0.775, 1.0, 5, 4
@@ -30,41 +30,6 @@ def tokens(text: Column) -> Column:
     return T.words(folded(F.lower(text)))
 
 
-def indexed(chunks: DataFrame) -> DataFrame:
-    """(doc_id, terms): the words of the text and of its aliases."""
-    return chunks.select("doc_id", F.concat(tokens(F.col("text")), tokens(T.search_aliases(F.col("text")))).alias("terms"))
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, doc_id, tf): the keyword index over the stems of text and its aliases."""
-    words = indexed(chunks).select("doc_id", F.explode("terms").alias("word")).groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    return words.join(vocabulary(words), "word").groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
-
-
-def vocabulary(words: DataFrame) -> DataFrame:
-    """(word, term): each distinct word with its stem."""
-    return words.select("word").distinct().select("word", stems(F.col("word")).alias("term"))
-
-
-def bm25(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(q_id, doc_id, score, rank): the k best chunks of each question (q_id, question) with any of its
-    terms, by stems without diacritics; terms in more than half of the chunks weigh next to nothing. Distinct words are stemmed;
-    the words of a chunk carry its length and those that nobody asked for go before they are shuffled; each term has one idf."""
-    asked = questions.select("q_id", F.explode(T.query_terms(folded(F.lower("question")))).alias("word")).select("q_id", stems(F.col("word")).alias("term"))
-    index = indexed(chunks).select("doc_id", "terms", F.size("terms").alias("length"))
-    total = index.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    words = index.select("doc_id", "length", F.explode("terms").alias("word"))
-    sought = vocabulary(words).join(asked.select("term").distinct(), "term", "left_semi")
-    hits = words.join(sought, "word").groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    seen = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))
-    weight = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    scored = hits.join(seen.select("term", weight.alias("idf"), "mean"), "term")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    each = asked.join(scored.select("term", "doc_id", part.alias("part")), "term").groupBy("q_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "doc_id"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def of_width(vectors: DataFrame, width: int) -> DataFrame:
     """vectors, or an error on one of another width."""
     return vectors.withColumn("vector", F.when(F.size("vector") == width, F.col("vector")).otherwise(F.raise_error(F.concat(F.lit(f"vector must have {width} numbers, has "), F.size("vector").cast("string")))))

@@ -13,6 +13,7 @@ from tidemark.operators import monitor, search
 from tidemark.operators import relational as rel
 from tidemark.operators import vectors as ann
 from tidemark.operators.adapters import family
+from tidemark.operators.keyword_index import KeywordIndex
 from tidemark.operators.vector_index import VectorIndex
 from tidemark.plans.ingest_queries import FOCUS_SQL, focus_history
 from tidemark.plans.registry import query
@@ -106,14 +107,26 @@ def asked(spark, sf_dir):
 ASKED_SQL = "q_id >= 0 AND q_id % 20 = 0"
 
 
+def keyword_index(spark, sf_dir):
+    """The index over the texts of all chunks, built once from the files of the documents and read by later queries; half of them are
+    an insert of their own."""
+
+    def build(path):
+        c = table(spark, sf_dir, "documents").select("doc_id", "text")
+        for part in (c.where("doc_id % 2 = 0"), c.where("doc_id % 2 <> 0")):
+            KeywordIndex(spark, path, 16).insert(part)
+
+    return KeywordIndex(spark, kept(spark, "keyword", [f"{sf_dir}/documents.parquet"], build), 16)
+
+
 @query("txt05_bm25", f"WITH {bm25_sql(ASKED_SQL, 20)} SELECT q_id, doc_id, score, rank FROM kw")
 def _(spark, sf_dir):
-    return search.bm25(asked(spark, sf_dir), chunks(spark, sf_dir), 20)
+    return keyword_index(spark, sf_dir).search(asked(spark, sf_dir), 20)
 
 
 @query("txt06_keyword_index", f"WITH {CHUNK_SQL}, {POSTING_SQL} SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM post GROUP BY term")
 def _(spark, sf_dir):
-    return search.postings(chunks(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
+    return keyword_index(spark, sf_dir).terms()
 
 
 def cue_sql(cues) -> str:
@@ -286,7 +299,7 @@ def hybrid(spark, sf_dir, q=None):
     v = vectors(spark, sf_dir).join(c.select(F.col("doc_id").alias("id")), "id", "left_semi")
     keyed = c.select("doc_id", F.sha2("text", 256).alias("text"), "chunk_id", "taint", "t_ns", "domain")
     dense = search.knn_all_families(own, v, 80).select("q_id", "rank", "distance", F.col("id").alias("doc_id")).join(keyed, "doc_id")
-    words = search.bm25(q, c, 80).select("q_id", "rank", "doc_id").join(keyed, "doc_id")
+    words = keyword_index(spark, sf_dir).search(q, 80).select("q_id", "rank", "doc_id").join(keyed, "doc_id")
     return search.fused(dense, words, q, 20, c.select("doc_id", "text"))
 
 

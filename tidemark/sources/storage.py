@@ -45,6 +45,14 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def spread(df: DataFrame, bytes_a_core: int = 128 << 20) -> DataFrame:
+    """A small input, which may lie in a single row group, dealt out to all cores; a larger one as it is, since its own splits are
+    enough and a shuffle would cost more than it gains. Spark's estimate of the size decides; rows are the same."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_a_core else df
+
+
 def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[str], object]) -> str:
     """The folder of something that is built from files once and read by all later queries, in other applications too where the
     shared folder is the same. Its name holds the sources' files, their sizes and times, so changed sources are built anew; it
