@@ -87,10 +87,6 @@ def proper_nouns(question: Column) -> Column:
     return F.transform(F.filter(F.slice(own, 2, F.greatest(F.size(own), F.lit(1))), lambda w: (w != "I") & w.rlike(r"^\p{Lu}")), F.lower)
 
 
-def names_known(nouns: Column, texts: Column) -> Column:
-    return F.forall(nouns, lambda n: F.exists(texts, lambda t: F.contains(F.lower(t), n)))
-
-
 def media_words(question: Column) -> Column:
     generic = F.array(*map(F.lit, GENERIC_WORDS))
     return F.filter(words(F.lower(question)), lambda w: (F.octet_length(w) > 2) & ~F.array_contains(generic, w))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions.privacy import defused, wrapped
 from tidemark.functions.stem import folded
+from tidemark.operators.patterns import occurrences, present
+from tidemark.sources.storage import spread
 
 K1, B, LEAST_IDF, RRF, FAR = 1.2, 0.75, 1e-6, 60.0, 2.0
 MAX_DISTANCE, MIN_KEYWORDS, TOP, FETCH = 0.775, 1.0, 5, 4
@@ -139,21 +141,30 @@ def overview(activity: DataFrame, work: bool, keep: int) -> DataFrame:
 
 
 def matched(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(q_id, doc_id, matched): how many terms of each question (q_id, question) each chunk has; every
-    question meets every chunk, in blocks where they are too many to broadcast."""
-    q = questions.select("q_id", F.transform(T.query_terms(F.col("question")), T.stem).alias("stems"))
-    c = chunks.select("doc_id", F.lower("text").alias("text"))
-    return c.crossJoin(q).select("q_id", "doc_id", F.size(F.filter("stems", lambda t: F.contains("text", t))).cast("long").alias("matched"))
-
-
-def on_topic(questions: DataFrame, media: DataFrame) -> DataFrame:
-    """Media rows (m_id, text) that share a telling word with each question; all if none does. Questions meet
-    media in blocks where they are too many to broadcast; no text is shuffled."""
-    q = questions.select("q_id", T.media_words(F.col("question")).alias("words")).where("words IS NOT NULL")
-    hit = F.exists(F.col("words"), lambda w: F.contains("low", w))
-    media = media.withColumn("low", F.lower("text"))
-    some = media.select("low").crossJoin(q).where(hit).select("q_id").distinct().withColumn("some", F.lit(True))
-    return media.crossJoin(q.join(some, "q_id", "left")).where(F.col("some").isNull() | hit).select("q_id", "m_id", "text")
+    """(q_id, doc_id, matched): how many terms (repeats counted) of each question (q_id, question) each chunk has by their stems; pairs
+    without any are left out. A text is read once for the stems of all questions."""
+    said = questions.select("q_id", F.explode(T.query_terms(F.col("question"))).alias("term")).groupBy("q_id", T.stem(F.col("term")).alias("pattern")).agg(F.count(F.lit(1)).alias("times"))
+    hits = occurrences(spread(chunks.select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))), said)
+    return hits.join(said, "pattern").groupBy("q_id", F.col("id").alias("doc_id")).agg(F.sum("times").alias("matched"))
+
+
+def names_known(questions: DataFrame, texts: DataFrame) -> DataFrame:
+    """(q_id, known): whether every proper noun of a question (q_id, question) occurs in some text (text)."""
+    nouns = questions.select("q_id", F.explode_outer(T.proper_nouns(F.col("question"))).alias("pattern"))
+    hit = present(spread(texts.select(F.lower("text").alias("text"))), nouns).withColumn("hit", F.lit(True))
+    return nouns.join(hit, "pattern", "left").groupBy("q_id").agg(F.bool_and(F.col("pattern").isNull() | F.coalesce("hit", F.lit(False))).alias("known"))
+
+
+def on_topic(questions: DataFrame, media: DataFrame, salts: int = 16) -> DataFrame:
+    """Media rows (m_id, text) that share a telling word with each question (q_id, question); all if none does, which are dealt out
+    by a salt. A text is read once for the words of all questions; texts join the pairs at the end."""
+    said = questions.where("question IS NOT NULL").select("q_id", F.explode_outer(F.array_distinct(T.media_words(F.col("question")))).alias("pattern"))
+    hits = occurrences(spread(media.select(F.col("m_id").alias("id"), F.lower("text").alias("text"))), said)
+    pairs = hits.join(said, "pattern").select("q_id", F.col("id").alias("m_id")).distinct()
+    none = said.select("q_id").distinct().join(pairs.select("q_id").distinct(), "q_id", "left_anti")
+    dealt = media.select("m_id", F.pmod(F.xxhash64("m_id"), F.lit(salts)).cast("int").alias("salt"))
+    every = none.select("q_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).join(dealt, "salt").select("q_id", "m_id")
+    return pairs.unionAll(every).join(media, "m_id").select("q_id", "m_id", "text")
 
 
 def with_media(found: DataFrame, media: DataFrame, most: int = TOP + 3) -> DataFrame:

@@ -78,7 +78,7 @@ def _(spark, sf_dir):
     return w.select("term", T.stem(F.col("term")).alias("stem"))
 
 
-@query("txt04_terms_matched", f"WITH {QUESTION_SQL}, {CHUNK_SQL} SELECT q_id, doc_id, {matched_sql(terms_sql('question'), 'text')} AS matched FROM question, chunks WHERE q_id >= 0 AND q_id % 20 = 0")
+@query("txt04_terms_matched", f"WITH {QUESTION_SQL}, {CHUNK_SQL} SELECT * FROM (SELECT q_id, doc_id, {matched_sql(terms_sql('question'), 'text')} AS matched FROM question, chunks WHERE q_id >= 0 AND q_id % 20 = 0) WHERE matched > 0")
 def _(spark, sf_dir):
     return search.matched(asked(spark, sf_dir), chunks(spark, sf_dir))
 
@@ -160,12 +160,8 @@ def _(spark, sf_dir):
 
 @query("txt10_names_known", f"WITH {QUESTION_SQL}, {CHUNK_SQL}, n AS (SELECT q_id, unnest({NOUN_SQL}) AS noun FROM question), m AS (SELECT DISTINCT q_id, noun, EXISTS (SELECT 1 FROM chunks WHERE domain = 'media_playback' AND contains(lower(text), noun)) AS hit FROM n) SELECT q.q_id, coalesce(bool_and(hit), true) AS known FROM question q LEFT JOIN m USING (q_id) GROUP BY q.q_id")
 def _(spark, sf_dir):
-    q = questions(spark, sf_dir).select("q_id", T.proper_nouns(F.col("question")).alias("nouns"))
-    nouns = q.select(F.explode("nouns").alias("noun")).distinct()
-    media = chunks(spark, sf_dir).where("domain = 'media_playback'").select(F.lower("text").alias("text"))
-    hit = media.join(nouns, F.contains("text", "noun")).groupBy("noun").agg(F.lit(True).alias("hit"))
-    each = q.select("q_id", F.explode_outer("nouns").alias("noun")).join(hit, "noun", "left")
-    return each.groupBy("q_id").agg(F.bool_and(F.col("noun").isNull() | F.coalesce("hit", F.lit(False))).alias("known"))
+    media = chunks(spark, sf_dir).where("domain = 'media_playback'")
+    return search.names_known(questions(spark, sf_dir), media)
 
 
 MEDIA_ROW = "mrow AS (SELECT doc_id AS m_id, text, t_ns FROM chunks WHERE domain = 'media_playback')"
