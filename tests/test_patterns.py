@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("group", [1 << 20, 40])
+@pytest.mark.parametrize("group", [1 << 20, 4000])
 def test_occurrences(spark, monkeypatch, group):
     monkeypatch.setattr(patterns, "GROUP", group)
     rng = random.Random(3)

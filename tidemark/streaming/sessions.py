@@ -1,6 +1,6 @@
 """The ingest filter on live events: the batch operators' results, one micro-batch after another.
 
-State is one small row a window (until it closes) or key.
+State is one small row a window, until it closes. The gate and the cool-down, whose keys leave, are in streaming.bounded.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.text import normal_title
-from tidemark.operators.ingest import DWELL_NS, OCCURRENCES, self_observed
+from tidemark.operators.ingest import self_observed
 from tidemark.sources.storage import entries, file_system
 
 TOUCH = "seq long, t_ns long, toplevel_id long, app_id string, pid long, occurrence boolean, t_start_ns long, t_end_ns long, title string"
@@ -71,20 +71,6 @@ def segments(events: DataFrame, own: tuple[str, ...] = (), prefix: str = "\x00")
     return e.groupBy("toplevel_id").applyInPandasWithState(fold, TOUCH, WINDOW, "append", GroupStateTimeout.NoTimeout)
 
 
-def gated(touches: DataFrame, occurrences: int = OCCURRENCES, dwell_ns: int = DWELL_NS) -> DataFrame:
-    """touches of a stream with `promoted`, keyed by app_id: a key's counts are one small row, kept as in operators.ingest.gated."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, dwell = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        n, total = seen + rows.occurrence.astype("int64").cumsum(), dwell + rows.span.cumsum()
-        state.update((int(n.iloc[-1]), int(total.iloc[-1])))
-        yield pd.DataFrame({"seq": rows.seq, "app_id": key[0], "promoted": (n >= occurrences) | (total > dwell_ns)})
-
-    span = F.greatest(F.coalesce(F.col("t_end_ns") - F.col("t_start_ns"), F.lit(0)), F.lit(0))
-    return touches.select("seq", "app_id", "occurrence", span.alias("span")).groupBy("app_id").applyInPandasWithState(fold, "seq long, app_id string, promoted boolean", "seen long, dwell long", "append", GroupStateTimeout.NoTimeout)
-
-
 def bursts(inserts: DataFrame, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
     """(family, start, end, n): runs of inserts (family, at timestamp) without a pause longer than gap."""
     s = inserts.withWatermark("at", late).groupBy("family", F.session_window("at", gap).alias("w"))
