@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normal_title
+from tidemark.operators.prefix import running
 
 OCCURRENCES, DWELL_NS = 3, 5_000_000_000
 COOLDOWN_NS = 600_000_000_000
@@ -73,12 +74,12 @@ def segments(known: DataFrame) -> DataFrame:
     return m.select("seq", "t_ns", "toplevel_id", "app_id", "pid", (F.col("mark") == "A").alias("occurrence"), on(F.col("since")).alias("t_start_ns"), on(F.col("t_ns")).alias("t_end_ns"), on(plain("old_title")).alias("title"))
 
 
-def gated(touches: DataFrame, key: str, occurrences: int = OCCURRENCES, dwell_ns: int = DWELL_NS) -> DataFrame:
-    """touches with `promoted`: the key's occurrences so far reach the gate, or its dwell exceeds it.
-    Both only grow, so a promoted key stays so."""
-    so_far = W.partitionBy(key).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+def gated(touches: DataFrame, key: str, occurrences: int = OCCURRENCES, dwell_ns: int = DWELL_NS, slice_rows: int | None = None) -> DataFrame:
+    """touches with `promoted`: the key's occurrences so far reach the gate, or its dwell exceeds it. Both only grow, so a promoted
+    key stays so. Counts run on over slices, so a key may hold all touches."""
     dwell = F.greatest(F.coalesce(F.col("t_end_ns") - F.col("t_start_ns"), F.lit(0)), F.lit(0))
-    return touches.withColumn("promoted", (F.sum(F.col("occurrence").cast("long")).over(so_far) >= occurrences) | (F.sum(dwell).over(so_far) > dwell_ns))
+    counted = running(touches, [key], ["seq"], {"_seen": ("sum", F.col("occurrence").cast("long")), "_dwell": ("sum", dwell)}, slice_rows)
+    return counted.withColumn("promoted", (F.col("_seen") >= occurrences) | (F.col("_dwell") > dwell_ns)).drop("_seen", "_dwell")
 
 
 def gate_key(kind: Column, app: Column, root: Column, root_known: Column, label: Column) -> Column:

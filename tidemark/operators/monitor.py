@@ -41,9 +41,11 @@ def scrape_status(failure: Column) -> Column:
 
 
 def remembered(scrapes: DataFrame) -> DataFrame:
-    """scrapes (component, seq, status): UNKNOWN of a component that answered before is DOWN."""
-    before = F.max((F.col("status") == "OK").cast("int")).over(W.partitionBy("component").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
-    return scrapes.withColumn("status", F.when((F.col("status") == "UNKNOWN") & (before == 1), "DOWN").otherwise(F.col("status")))
+    """scrapes (component, seq, status): UNKNOWN of a component that answered before is DOWN. A component's first answer decides for
+    all of its scrapes, so they need no order among themselves."""
+    first = scrapes.where("status = 'OK'").groupBy("component").agg(F.min("seq").alias("_first"))
+    lost = (F.col("status") == "UNKNOWN") & (F.col("_first") < F.col("seq"))
+    return scrapes.join(first, "component", "left").withColumn("status", F.when(lost, "DOWN").otherwise(F.col("status"))).drop("_first")
 
 
 def over_budget(status: Column, budget: Column, rss: Column) -> Column:

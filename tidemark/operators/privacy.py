@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import following, running
+
 FOREVER = (1 << 63) - 1
 
 
@@ -13,8 +14,7 @@ def pauses(controls: DataFrame) -> DataFrame:
     """(from_ns, until_ns) of controls (seq, t_ns, action, for_ns): a pause lasts for_ns, or for ever if
     that is 0, but not beyond the next control."""
     upto = F.when(F.col("for_ns") == 0, F.lit(FOREVER)).otherwise(F.when(F.col("t_ns") > F.lit(FOREVER) - F.col("for_ns"), F.lit(FOREVER)).otherwise(F.col("t_ns") + F.col("for_ns")))
-    following = F.lead("t_ns").over(W.orderBy("t_ns", "seq"))
-    rows = controls.withColumn("until_ns", F.least(upto, F.coalesce(following, F.lit(FOREVER))))
+    rows = following(controls, ["t_ns", "seq"], "t_ns", "_next").withColumn("until_ns", F.least(upto, F.coalesce("_next", F.lit(FOREVER))))
     return rows.where("action = 'pause'").select(F.col("t_ns").alias("from_ns"), "until_ns")
 
 
@@ -24,11 +24,14 @@ def excluded_apps(defaults: DataFrame, configured: DataFrame, use_defaults: bool
 
 
 def allowed(events: DataFrame, excluded: DataFrame, paused: DataFrame) -> DataFrame:
-    """events (app_id, t_ns, ...) outside all pauses and of no excluded application; an unknown one
-    passes. Pauses are few control actions and are broadcast as such."""
-    free = events.join(excluded, "app_id", "left_anti")
-    inside = (F.col("t_ns") >= F.col("from_ns")) & (F.col("t_ns") < F.col("until_ns"))
-    return free.join(F.broadcast(paused), inside, "left_anti").select(*events.columns)
+    """events (app_id, t_ns, ...) outside all pauses and of no excluded application; an unknown one passes. Events and pauses lie in
+    one order of time, and an event is paused if the latest end of the pauses begun so far is still to come: there may be as many
+    pauses as events. An event without time is never paused."""
+    free = events.join(excluded, "app_id", "left_anti").select(*events.columns)
+    rows = free.select(F.struct("*").alias("event"), F.col("t_ns").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_until"))
+    begun = paused.select(F.lit(None).cast(rows.schema["event"].dataType).alias("event"), F.col("from_ns").alias("_t"), F.lit(0).alias("_kind"), F.col("until_ns").alias("_until"))
+    known = running(rows.unionAll(begun), [], ["_t", "_kind"], {"_open": ("max", F.col("_until"))})
+    return known.where("_kind = 1 AND (_t IS NULL OR _open IS NULL OR _open <= _t)").select("event.*")
 
 
 def status(excluded: DataFrame, paused: DataFrame, now_ns: int, drops: DataFrame) -> DataFrame:
