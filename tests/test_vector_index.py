@@ -86,3 +86,28 @@ def test_wrong_widths_and_missing_vectors(spark, given, index, tmp_path):
     small.insert(spark.createDataFrame([(1, None, [0.5] * 64), (2, "a", None), (3, "a", [0.5] * 64), (4, "a", [0.5] * 64)], "id long, family string, vector array<float>"), "m")
     got = small.search(spark.createDataFrame([(7, [0.5] * 64), (8, None)], "q_id long, probe array<float>"), 2, 9, 9).collect()
     assert [(r.q_id, r.id, r.rank) for r in sorted(got, key=lambda r: r["rank"])] == [(7, 1, 1), (7, 3, 2)]
+
+
+@pytest.mark.parametrize("probes_, pack", [(1024, 4096), (3, 7)])
+def test_exact_search_is_brute_force(spark, monkeypatch, probes_, pack):
+    import numpy as np
+
+    monkeypatch.setattr(search, "PROBES", probes_)
+    monkeypatch.setattr(search, "PACK", pack)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4)).round(1)
+    x[10] = x[11]
+    rows = [(i, ("a", "b", None)[i % 3], [float(v) for v in x[i]]) for i in range(60)] + [(99, "a", None)]
+    vectors_ = spark.createDataFrame(rows, "id int, family string, vector array<double>")
+    asked = [(i, [float(v) for v in rng.normal(size=4).round(1)]) for i in range(10)] + [(77, None)]
+    probes__ = spark.createDataFrame(asked, "q_id int, probe array<double>")
+    far = lambda q, v: round(sum((a - b) ** 2 for a, b in zip(q, v)), 6)
+    for family in (False, True):
+        want = set()
+        for q, p in asked[:-1]:
+            for names in (["a", "b", None] if family else ["all"]):
+                near = sorted(((far(p, v), i, f) for i, f, v in rows[:-1] if not family or f == names), key=lambda x: x[:2])
+                want |= {(q, i, f, r + 1) for r, (_, i, f) in enumerate(near[:4])}
+        got = {(r.q_id, r.id, r.family, r["rank"]) for r in search.knn(probes__, vectors_, 4, family=family).collect()}
+        assert got == want
+    assert search.knn(probes__, vectors_.limit(0), 4).count() == 0 == search.knn(probes__.limit(0), vectors_, 4).count()

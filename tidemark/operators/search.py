@@ -24,8 +24,8 @@ MAX_DISTANCE, MIN_KEYWORDS, TOP, FETCH = 0.775, 1.0, 5, 4
 SYSTEM_TOKENS, DEICTIC_TOKENS, EVIDENCE_TOKENS, SEPARATOR_TOKENS = 128, 64, 320, 4
 TOTAL_TOKENS = SYSTEM_TOKENS + DEICTIC_TOKENS + EVIDENCE_TOKENS
 SEPARATOR = "\n---\n"
-#: Probes in a block, and distances that are held at a time.
-PROBES, CELLS = 1024, 1 << 21
+#: Probes and vectors in a block, and distances that are held at a time.
+PROBES, PACK, CELLS = 1024, 4096, 1 << 21
 
 
 def tokens(text: Column) -> Column:
@@ -53,38 +53,49 @@ def nearest(probes: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple
     return of[good], at[good], far[of[good], at[good]]
 
 
+def members(column: pa.ListArray, *names: str) -> Iterator[list[np.ndarray]]:
+    """Of each list of structs, the named fields as arrays, lists of numbers as matrices."""
+    flat, bounds = column.flatten(), column.offsets.to_numpy()
+    columns = [matrix(c, len(flat)) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in (flat.field(n) for n in names)]
+    for a, b in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0], strict=True):
+        yield [c[a:b] for c in columns]
+
+
 def knn(probes: DataFrame, vectors: DataFrame, k: int, family: bool = False) -> DataFrame:
-    """(q_id, id, family, distance, rank): the k nearest vectors (id, family, vector) of each probe
-    (q_id, probe), within each family if asked. Probes go out in blocks of about PROBES; each batch of vectors yields
-    its own k best for every probe, so only those are shuffled. Rows without a vector are left out."""
-    by, out = ["q_id", "family"] if family else ["q_id"], None
-    known = probes.where("probe IS NOT NULL").select(F.col("q_id").cast("bigint"), "probe")
-    rows = vectors.where("vector IS NOT NULL").select(F.col("id").cast("bigint"), "family", "vector")
-    n = -(-known.count() // PROBES) or 1
-    for block in range(n):
-        got = known.where(F.pmod(F.xxhash64("q_id"), F.lit(n)) == block).toArrow()
-        if not got.num_rows:
-            continue
-        shared = vectors.sparkSession.sparkContext.broadcast((got["q_id"].to_numpy(), matrix(got["probe"].combine_chunks(), got.num_rows)))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_id, own = shared.value
-            step = max(1, CELLS // len(q_id))
-            for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    ids, x = part.column(0).to_numpy(), matrix(part.column(2), part.num_rows)
-                    kind = part.column(1).dictionary_encode() if family else None
-                    groups = [np.arange(part.num_rows)] if kind is None else [np.flatnonzero(kind.indices.to_numpy(zero_copy_only=False) == f) for f in range(len(kind.dictionary))]
-                    for rows in groups:
-                        of, near, far = nearest(own, x[rows], ids[rows], k)
-                        near = rows[near]
-                        yield pa.RecordBatch.from_arrays([pa.array(q_id[of]), pa.array(ids[near]), part.column(1).take(pa.array(near)), pa.array(far)], ["q_id", "id", "family", "distance"])
-
-        one = rows.mapInArrow(search, "q_id bigint, id bigint, family string, distance double")
-        out = one if out is None else out.unionAll(one)
-    if out is None:
-        out = rows.crossJoin(known.limit(0)).select("q_id", "id", "family", F.lit(0.0).alias("distance"))
+    """(q_id, id, family, distance, rank): the k nearest vectors (id, family, vector) of each probe (q_id, probe), within each family
+    if asked. Vectors are read once and packed into blocks, which are dealt to lanes; blocks of about PROBES probes go to every
+    lane, so a probe block and a vector block meet as one row and yield the probes' k best in it. Of those, each task and then the
+    whole keep k. The plan is the same for any number of probes. Rows without a vector are left out."""
+    by = ["q_id", "family"] if family else ["q_id"]
+    known = probes.where("probe IS NOT NULL").select(F.col("q_id").cast("bigint").alias("q_id"), "probe")
+    rows = vectors.where("vector IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), "family", "vector")
+    lanes, blocks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known.count() // PROBES) or 1
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column(1).dictionary_encode()
+            of = kind.indices.fill_null(len(kind.dictionary)).to_numpy(zero_copy_only=False) if family else np.zeros(batch.num_rows, int)
+            ids, x = batch.column(0).to_numpy(), matrix(batch.column(2), batch.num_rows)
+            for f in np.unique(of).tolist():
+                own = np.flatnonzero(of == f)
+                for part in np.split(own, range(PACK, len(own), PACK)):
+                    names = batch.column(1).take(pa.array(part))
+                    yield pa.RecordBatch.from_pydict({"first": [int(ids[part[0]])], "ids": [ids[part].tobytes()], "families": pa.array([names.to_pylist()], pa.list_(pa.string())), "x": [x[part].tobytes()]})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (q_id, own) in enumerate(members(batch.column(3), "q_id", "probe")):
+                ids, names = np.frombuffer(batch.column(0)[i].as_py(), np.int64), batch.column(1)[i].values
+                x = np.frombuffer(batch.column(2)[i].as_py(), np.float64).reshape(len(ids), -1)
+                step = max(1, CELLS // len(ids))
+                for at in range(0, len(own), step):
+                    of, near, far = nearest(own[at : at + step], x, ids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_id[at:][of]), pa.array(ids[near]), names.take(pa.array(near)), pa.array(far)], ["q_id", "id", "family", "distance"])
+
+    packs = rows.mapInArrow(pack, "first bigint, ids binary, families array<string>, x binary").withColumn("lane", F.pmod(F.xxhash64("first"), F.lit(lanes)).cast("int"))
+    asked = known.groupBy(F.pmod(F.xxhash64("q_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("q_id", "probe")).alias("asked"))
+    asked = asked.select("asked", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
+    out = packs.join(asked, "lane").select("ids", "families", "x", "asked").mapInArrow(search, "q_id bigint, id bigint, family string, distance double")
     rank = F.row_number().over(W.partitionBy(*by).orderBy("distance", "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

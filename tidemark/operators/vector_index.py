@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.search import PROBES, matrix, of_width
+from tidemark.operators.search import PROBES, matrix, members, of_width
 from tidemark.sources.storage import entries
 
 #: Vectors in a block, and distances by code that are held at a time.
@@ -75,14 +75,6 @@ class Model:
         return out
 
 
-def members(column: pa.ListArray, *names: str) -> Iterator[list[np.ndarray]]:
-    """Of each list of structs, the named fields as arrays, lists of numbers as matrices."""
-    flat, bounds = column.flatten(), column.offsets.to_numpy()
-    columns = [matrix(c, len(flat)) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in (flat.field(n) for n in names)]
-    for a, b in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0], strict=True):
-        yield [c[a:b] for c in columns]
-
-
 def packed(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
