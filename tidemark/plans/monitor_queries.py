@@ -151,10 +151,13 @@ def _(spark, sf_dir):
     return n.crossJoin(m.join(backed, "title", "left_anti").agg(F.count(F.lit(1)).alias("unbacked")))
 
 
-@query("mon16_grades", "WITH a AS (SELECT doc_id AS q_id, doc_id % 7 = 0 AS control, doc_id % 3 = 0 AS declined, lower(text) AS answer, 'xyzzy|' || lower(left(text, 1 + doc_id % 5)) AS expected FROM documents WHERE text IS NOT NULL) SELECT control, count(*) AS n, sum((CASE WHEN control THEN declined ELSE NOT declined AND (contains(answer, 'xyzzy') OR (string_split(expected, '|')[2] <> '' AND contains(answer, string_split(expected, '|')[2]))) END)::INT)::BIGINT AS correct FROM a GROUP BY control")
+@query("mon16_grades", """WITH a AS (SELECT c.conv_id % 7 = 0 AS control, (c.conv_id + c.turn) % 3 = 0 AS declined, lower(c.text) AS answer, list_slice(string_split(lower(p.text), ' '), 1, 3) AS expected
+    FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 WHERE c.role = 'assistant' AND p.role = 'user')
+  SELECT control, count(*) AS n, sum((CASE WHEN control THEN declined ELSE NOT declined AND len(list_filter(expected, lambda x: x <> '' AND contains(answer, x))) > 0 END)::INT)::BIGINT AS correct FROM a GROUP BY control""")
 def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    a = d.select(F.col("doc_id").alias("q_id"), (F.col("doc_id") % 7 == 0).alias("control"), (F.col("doc_id") % 3 == 0).alias("declined"), F.col("text").alias("answer"), F.concat(F.lit("xyzzy|"), F.left("text", (1 + F.col("doc_id") % 5).cast("int"))).alias("expected"))
+    c = table(spark, sf_dir, "conversations")
+    asked = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.array_join(F.slice(F.split("text", " "), 1, 3), "|").alias("expected"))
+    a = c.where("role = 'assistant'").join(asked, ["conv_id", "turn"]).select((F.col("conv_id") % 7 == 0).alias("control"), ((F.col("conv_id") + F.col("turn")) % 3 == 0).alias("declined"), F.col("text").alias("answer"), "expected")
     return mon.graded(a).groupBy("control").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("long")).alias("correct"))
 
 
@@ -366,10 +369,10 @@ def processes(spark, sf_dir):
     return c.select(i.alias("pid"), F.when(i == 17, 35).otherwise(F.floor(i / 2)).alias("ppid"), F.when(i % 4 == 0, F.left(F.lower("c_mktsegment"), F.lit(15))).otherwise(F.concat(F.lit("app"), i % 50)).alias("comm"))
 
 
-@query("src11_process_subtrees", f"WITH RECURSIVE {TREE}, sub(root, pid, depth) AS (SELECT pid, pid, 0 FROM tree WHERE pid IN (5, 17, 35) UNION ALL SELECT s.root, t.pid, s.depth + 1 FROM sub s JOIN tree t ON t.ppid = s.pid WHERE t.pid <> s.root AND s.depth < 40) SELECT root, pid, min(depth) AS depth FROM sub GROUP BY root, pid")
+@query("src11_process_subtrees", f"WITH RECURSIVE {TREE}, sub(root, pid, depth) AS (SELECT pid, pid, 0 FROM tree WHERE pid IN (SELECT n_nationkey FROM nation) UNION ALL SELECT s.root, t.pid, s.depth + 1 FROM sub s JOIN tree t ON t.ppid = s.pid WHERE t.pid <> s.root AND s.depth < 40) SELECT root, pid, min(depth) AS depth FROM sub GROUP BY root, pid")
 def _(spark, sf_dir):
     p = processes(spark, sf_dir)
-    return sensors.subtree(p, p.where("pid IN (5, 17, 35)"))
+    return sensors.subtree(p, p.join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("pid")), "pid", "left_semi"))
 
 
 @query("src12_app_pids", f"WITH {TREE}, apps AS (SELECT DISTINCT 'org.' || n_name || CASE n_nationkey % 4 WHEN 0 THEN '.App7' WHEN 1 THEN '.Buildings' WHEN 2 THEN '.' ELSE '.HOUSEHOLD' END AS app_id FROM nation), g AS (SELECT app_id, lower(string_split(app_id, '.')[-1]) AS g FROM apps) SELECT app_id, min(pid) AS pid FROM g JOIN tree ON g <> '' AND (comm = g OR (length(g) >= 3 AND starts_with(comm, g)) OR (length(comm) = 15 AND starts_with(g, comm))) GROUP BY app_id")

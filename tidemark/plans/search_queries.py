@@ -85,8 +85,8 @@ def _(spark, sf_dir):
 
 PLAIN_SQL = "strip_accents(lower({}))"
 POSTING_SQL = f"""toks AS (SELECT doc_id, list_concat({words_sql(PLAIN_SQL.format('text'))}, {words_sql(PLAIN_SQL.format(aliases_sql('text')))}) AS t FROM chunks),
-  {stemmed_sql('known', 'SELECT unnest(t) AS word FROM toks')},
-  post AS (SELECT stem AS term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS word FROM toks) JOIN known USING (word) GROUP BY stem, doc_id)"""
+  {stemmed_sql('vocab', 'SELECT unnest(t) AS word FROM toks')},
+  post AS (SELECT stem AS term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS word FROM toks) JOIN vocab USING (word) GROUP BY stem, doc_id)"""
 
 
 def bm25_sql(asked: str, k: int) -> str:
@@ -322,14 +322,6 @@ def _(spark, sf_dir):
     return search.evidence(hybrid(spark, sf_dir)).select("q_id", "rank", "text", "distance", "keyword_score", "taint")
 
 
-HALF = 3_600_000_000_000
-
-
-@query("hyb03_around", f"WITH {EVIDENCE_SQL} SELECT q_id, CASE WHEN q_id % 2 = 0 THEN greatest(t - {HALF}::BIGINT, 0) ELSE t + 1 END AS since_ns, CASE WHEN q_id % 2 = 0 THEN t - 1 ELSE t + {HALF}::BIGINT END AS until_ns FROM (SELECT q_id, min(t_ns) AS t FROM evid WHERE t_ns > 0 GROUP BY q_id)")
-def _(spark, sf_dir):
-    return search.around_range(search.evidence(hybrid(spark, sf_dir)), F.col("q_id") % 2 == 0, HALF)
-
-
 @query("hyb04_overview", f"WITH {FOCUS_SQL}, a AS (SELECT app_id, title, min(t_start_ns) AS first_ns, sum(dwell_ms)::BIGINT AS dwell_ms FROM focus WHERE title <> '' GROUP BY app_id, title ORDER BY dwell_ms DESC, app_id, title LIMIT 18) SELECT ((dwell_ms + 30000) // 60000) || ' min total: ' || app_id || ': ' || title AS text, first_ns AS t_ns, dwell_ms FROM a WHERE NOT contains(title, 'YouTube') ORDER BY dwell_ms DESC, app_id, title LIMIT 6")
 def _(spark, sf_dir):
     return search.overview(rel.activity(focus_history(spark, sf_dir), limit=18), True, 6)
@@ -363,22 +355,11 @@ def _(spark, sf_dir):
 
 
 COST = "ceil(strlen({0}) / 4.0)::BIGINT"
-PIECE_SQL = f"{CHUNK_SQL}, pc AS (SELECT doc_id // 10 AS q_id, doc_id % 10 AS rank, left(text, 30 * (1 + doc_id % 10)) AS piece FROM chunks)"
-BLOCK_SQL = f"""{PIECE_SQL}, cost AS (SELECT *, {COST.format('piece')} + CASE WHEN row_number() OVER (PARTITION BY q_id ORDER BY rank) = 1 THEN 0 ELSE 4 END AS cost FROM pc),
+BLOCK_SQL = f"""cost AS (SELECT *, {COST.format('piece')} + CASE WHEN row_number() OVER (PARTITION BY q_id ORDER BY rank) = 1 THEN 0 ELSE 4 END AS cost FROM pc),
   run AS (SELECT *, sum(cost) OVER (PARTITION BY q_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS run FROM cost),
   blk AS (SELECT q_id, string_agg(piece, chr(10) || '---' || chr(10) ORDER BY rank) AS whole, coalesce(string_agg(piece, chr(10) || '---' || chr(10) ORDER BY rank) FILTER (run <= 320), '') AS part FROM run GROUP BY q_id)"""
 
 
-def pieces(spark, sf_dir):
-    rank = F.col("doc_id") % 10
-    return chunks(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("q_id"), rank.alias("rank"), F.left(F.col("text"), (30 * (1 + rank)).cast("int")).alias("piece"))
-
-
-@query("prm02_evidence_block", f"WITH {BLOCK_SQL} SELECT q_id, CASE WHEN {COST.format('whole')} <= 320 THEN whole ELSE part END AS block, least({COST.format('whole')}, 320) AS used FROM blk")
-def _(spark, sf_dir):
-    return search.evidence_block(pieces(spark, sf_dir))
-
-
 def deictic_sql(a: str, t: str, q: str) -> str:
     safe = lambda e: f"replace(replace({e}, '<|', '< |'), '|>', '| >')"
     return f"CASE WHEN {a} IS NULL THEN 'Question: ' || {safe(q)} ELSE 'The user is looking at \"' || {safe(t)} || '\" in ' || {safe(a)} || ' and asked: ' || {safe(q)} END"
@@ -396,31 +377,6 @@ def fit_sql() -> str:
     return out + f"ELSE {cut_sql('full_', 64)} END"
 
 
-DEICTIC_SQL = f"dei AS (SELECT *, {deictic_sql('a', 't', 'q')} AS full_ FROM (SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN 'app<|' || doc_id END AS a, left(text, (doc_id % 9) * 60) AS t, right(text, (doc_id % 5) * 30) AS q FROM documents))"
-
-
-def deictic_inputs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("app<|"), "doc_id")).alias("a"), F.left(F.col("text"), (F.col("doc_id") % 9 * 60).cast("int")).alias("t"), F.right(F.col("text"), (F.col("doc_id") % 5 * 30).cast("int")).alias("q"))
-
-
-@query("prm03_fitted_deictic", f"WITH {DEICTIC_SQL} SELECT doc_id, {fit_sql()} AS text FROM dei")
-def _(spark, sf_dir):
-    return deictic_inputs(spark, sf_dir).select("doc_id", search.fitted_deictic(F.col("a"), F.col("t"), F.col("q")).alias("text"))
-
-
-@query("prm04_prompts", f"WITH {DEICTIC_SQL} SELECT doc_id, 'System: Answer.<|eot_id|>User: Evidence:' || chr(10) || left(t, 20) || chr(10) || chr(10) || full_ || '<|eot_id|>Assistant: ' AS prompt FROM dei")
-def _(spark, sf_dir):
-    return deictic_inputs(spark, sf_dir).select("doc_id", search.prompt("Answer.", F.left(F.col("t"), F.lit(20)), search.deictic(F.col("a"), F.col("t"), F.col("q"))).alias("prompt"))
-
-
-@query("prm05_declined", f"WITH {evidence_sql(fuse_sql('q_id % 3 = 0', 'vec_id % 3 = 0'))} SELECT q.q_id, count(e.rank) = 0 AND q.q_id % 3 = 0 AS declined FROM question q LEFT JOIN evid e USING (q_id) GROUP BY q.q_id")
-def _(spark, sf_dir):
-    judged = questions(spark, sf_dir).where("q_id % 3 = 0")  # the others are never declined
-    n = search.evidence(hybrid(spark, sf_dir, judged)).groupBy("q_id").agg(F.count(F.lit(1)).alias("n"))
-    return questions(spark, sf_dir).join(n, "q_id", "left").select("q_id", (F.col("n").isNull() & (F.col("q_id") % 3 == 0)).alias("declined"))
-
-
 @query("prm06_distillation", "WITH big AS (SELECT doc_id, source, doc_id AS inserted FROM documents WHERE strlen(text) > 1000 AND ceil(strlen(text) / 4.0) > 1000) SELECT doc_id, source FROM big QUALIFY row_number() OVER (ORDER BY inserted DESC) <= 32")
 def _(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
