@@ -59,13 +59,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 name, content = batch.column(0)[k].as_py(), batch.column(1)[k].as_buffer()
-                parts, seq, (created, anonymised) = [], 0, (0, False)
+                parts, held, seq, (created, anonymised) = [], 0, 0, (0, False)
                 for n, part in enumerate(frames(memoryview(content))):
                     created, anonymised = made(memoryview(content))
                     parts.append(part)
-                    if sum(map(len, parts[-64:])) > BATCH or len(parts) == 4096:
+                    held += len(part)
+                    if held > BATCH or len(parts) == 4096:
                         yield rows(name, created, anonymised, seq, parts)
-                        parts, seq = [], n + 1
+                        parts, held, seq = [], 0, n + 1
                 yield rows(name, created, anonymised, seq, parts)
 
     def rows(name: str, created: int, anonymised: bool, seq: int, parts: list) -> pa.RecordBatch:
