@@ -99,13 +99,31 @@ def test_sort_suffixes_orders_and_verifies(monkeypatch):
     width, group = np.full(1500, 50), np.array([rng.randrange(3) for _ in range(1500)])
     for broken in (False, True):
         if broken:  # every hash collides: only the verification tells suffixes apart
-            monkeypatch.setattr(suffixes, "between", lambda p, a, b: np.zeros(len(a), np.uint64))
+            monkeypatch.setattr(suffixes, "prefix_hashes", lambda codes: np.zeros(len(codes) + 1, np.uint64))
         order, kind = suffixes.sort_suffixes(data, start, width, group)
         text = [(group[i], data[start[i] : start[i] + 50].tobytes()) for i in range(1500)]
         assert len(set(kind)) == len(set(text)) and len({(k, t) for k, t in zip(kind, text)}) == len(set(text))
         assert [text[i] for i in order] == sorted(text)
 
 
+def test_classes_come_from_the_sorted_order(monkeypatch):
+    """Equal suffixes are found because the sort makes them neighbours: in another order they are not."""
+    rng = random.Random(9)
+    data = np.frombuffer(bytes(rng.choices(b"abc", k=300)) * 6, np.uint8)
+    start = np.array(rng.sample(range(1700), 900))
+    width, group = np.full(900, 50), np.zeros(900, np.int64)
+    want = len({data[i : i + 50].tobytes() for i in start})
+    _, kind = suffixes.sort_suffixes(data, start, width, group)
+    assert len(set(kind)) == want <= 300
+    sort = suffixes.merge_sorted
+    monkeypatch.setattr(suffixes, "merge_sorted", lambda padded, prefix, start, width, group: np.argsort(start))  # reads no byte
+    _, kind = suffixes.sort_suffixes(data, start, width, group)
+    assert len(set(kind)) > 2 * want
+    monkeypatch.setattr(suffixes, "merge_sorted", lambda *a: np.array(rng.sample(sort(*a).tolist(), 900)))
+    _, kind = suffixes.sort_suffixes(data, start, width, group)
+    assert len(set(kind)) > want
+
+
 def test_substring_dedup(spark, corpus):
     docs, rows = corpus
     got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, sha(r.kept.encode())) for r in substring.deduplicated(docs).collect())

@@ -11,7 +11,8 @@ only anchors need to meet.
    doc_id. A hot anchor's windows go by their own hashes instead, so that its contexts spread.
 3. In a chunk (for equal segments) and in a shard (for all windows of an anchor) suffixes are sorted by
    sort_suffixes, a mergesort: prefix polynomial hashes and binary search find the extension that two
-   suffixes share, the byte after it decides, and classes of equals are verified on their bytes.
+   suffixes share, and the byte after it decides. What neighbours in the sorted order share (the LCP array) says which are
+   equal over the whole width; those classes are verified on their bytes.
 4. The answer says which windows of a segment also start in a smaller doc_id; covered bytes go.
 
 Null and empty texts have no windows; texts shorter than `width` lose nothing; a null id counts as
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.chunks import answered, corpus, dealt, ids, told
-from tidemark.llm.textops import BASE, BYTE_CODE, TAIL, U, between, covered, eight, mix, powers, prefix_hashes, range_hashes, rolling, run_sums, text_view
+from tidemark.llm.textops import BASE, BYTE_CODE, TAIL, U, covered, eight, mix, powers, prefix_hashes, range_hashes, rolling, run_sums, text_view
 
 GRAM, HOT, BLOCK, ENTRIES = 32, 4096, 1 << 16, 1 << 16
 
@@ -61,26 +62,18 @@ def sort_suffixes(data: np.ndarray, start: np.ndarray, width: np.ndarray, group:
     """Order of the suffixes by (group, first width bytes) and the class of each one: equal exactly
     for equal group, width and bytes. width is one number within a group.
 
-    Suffixes whose whole width has one hash go through the sort as one. The others are put in order by a mergesort whose
-    comparison is extension(); neighbours whose extension is the whole width are a class, which is then verified.
+    All suffixes go through a mergesort whose comparison is extension(), equal ones too. In its order the extension that neighbours
+    share (the LCP array) decides: neighbours that share the whole width are a class, which is then verified.
     """
-    n = len(start)
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
     prefix = prefix_hashes(BYTE_CODE[padded])
-    whole = mix(between(prefix, start, start + width) ^ mix(group.astype(U) * U(131) + width.astype(U)))
-    _, one, same = np.unique(whole, return_index=True, return_inverse=True)
-    sorted_ = one[merge_sorted(padded, prefix, start[one], width[one], group[one])]
-    new = np.ones(len(sorted_), bool)
-    left, right = sorted_[:-1], sorted_[1:]
+    order = merge_sorted(padded, prefix, start, width, group)
+    head = np.ones(len(start), bool)
+    left, right = order[:-1], order[1:]
     near = np.flatnonzero((group[left] == group[right]) & (width[left] == width[right]))
-    new[near + 1] = extension(prefix, start[left[near]], start[right[near]], width[left[near]]) < width[left[near]]
-    place = np.empty(len(one), np.int64)
-    place[same[sorted_]] = np.arange(len(one))
-    order = np.argsort(place[same], kind="stable")
-    head = np.zeros(n, bool)
-    head[np.searchsorted(place[same][order], np.flatnonzero(new))] = True
+    head[near + 1] = extension(prefix, start[left[near]], start[right[near]], width[left[near]]) < width[left[near]]
     order, head = verified(padded, order, head, start, width, group)
-    kind = np.empty(n, np.int64)
+    kind = np.empty(len(start), np.int64)
     kind[order] = np.cumsum(head) - 1
     return order, kind
 
