@@ -116,7 +116,7 @@ def keyword_index(spark, sf_dir):
         for part in (c.where("doc_id % 2 = 0"), c.where("doc_id % 2 <> 0")):
             KeywordIndex(spark, path, 16).insert(part)
 
-    return KeywordIndex(spark, kept(spark, "keyword", [f"{sf_dir}/documents.parquet"], build), 16)
+    return KeywordIndex(spark, kept(spark, "keyword-1", [f"{sf_dir}/documents.parquet"], build), 16)
 
 
 @query("txt05_bm25", f"WITH {bm25_sql(ASKED_SQL, 20)} SELECT q_id, doc_id, score, rank FROM kw")
@@ -404,7 +404,7 @@ def dense_index(spark, sf_dir):
         index.insert(v.where("id % 2 = 0"), "given")
         index.insert(v.where("id % 2 = 1"), "given")
 
-    return VectorIndex(spark, kept(spark, "dense", [f"{sf_dir}/embeddings.parquet", f"{sf_dir}/documents.parquet"], build))
+    return VectorIndex(spark, kept(spark, "dense-1", [f"{sf_dir}/embeddings.parquet", f"{sf_dir}/documents.parquet"], build))
 
 
 @query("vec04_ivf_search")

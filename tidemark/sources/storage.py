@@ -55,8 +55,8 @@ def spread(df: DataFrame, bytes_a_core: int = 128 << 20) -> DataFrame:
 
 def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[str], object]) -> str:
     """The folder of something that is built from files once and read by all later queries, in other applications too where the
-    shared folder is the same. Its name holds the sources' files, their sizes and times, so changed sources are built anew; it
-    is there once it is whole, and of two builders at a time one wins."""
+    shared folder is the same. Its name holds `name`, to which a new format gives a new number, and the sources' files, their sizes and
+    times, so changed sources are built anew; it is there once it is whole, and of two builders at a time one wins."""
     seen = []
     for source in sources:
         fs, at = file_system(spark, source)
