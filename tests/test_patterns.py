@@ -2,9 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 
+import tidemark.plans  # noqa: F401
 from tidemark.operators import patterns, search
+from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.sources.tables import chunks
 
 
@@ -47,3 +50,25 @@ def test_questions_and_media(spark):
     names = spark.createDataFrame([(1, "did Anna call Bob"), (2, "did I call"), (3, "did Zed call"), (4, None)], "q_id long, question string")
     said = spark.createDataFrame([("anna and bobby",), (None,)], "text string")
     assert {r.q_id: r.known for r in search.names_known(names, said).collect()} == {1: True, 2: True, 3: False, 4: True}
+
+
+@pytest.mark.parametrize("group", [1 << 20, 30])
+def test_every_pair_is_counted(spark, tmp_path, monkeypatch, group):
+    """txt04 gives each asked question with each chunk, also where the count is 0 or the question null."""
+    monkeypatch.setattr(patterns, "GROUP", group)
+    monkeypatch.setattr(patterns, "ROWS", 7)
+    docs = [(-3, "The boxes"), (1, None), (2, ""), (3, "Installed boxes, installing"), (3, "nothing"), (4, "zebra BOX"), (None, "boxed")]
+    items = [(0, "installing boxes installs boxes"), (20, None), (40, "what was it"), (60, ""), (60, "zebra"), (80, "nothing else"), (7, "not asked boxes")]
+    labels = [(3, 1, 0), (4, 1, 0), (4, 0, 1), (9, 1, 1), (None, 1, 1)]
+    for name, rows, kind in (("documents", docs, "doc_id long, text string"), ("benchmark", items, "item_id long, text string"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = QUERIES["txt04_terms_matched"](spark, str(tmp_path))
+    assert got.columns == ["q_id", "doc_id", "matched"] and "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
+    stems = {0: [["install", "box", "install", "box"]], 20: [None], 40: [[]], 60: [[], ["zebra"]], 80: [["noth", "else"]]}
+    seen = [(d, (t or "").lower()) for d, t in docs] + [(4, "zebra box")]
+    want = [(q, d, None if own is None else sum(s in t for s in own)) for q, sets in stems.items() for own in sets for d, t in seen]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) == 6 * 8
+    db = duckdb.connect()
+    for name in ("documents", "benchmark", "labels"):
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(map(str, db.sql(ORACLES["txt04_terms_matched"]).fetchall())) == sorted(map(str, want))
