@@ -30,7 +30,7 @@ def test_lanes_are_brute_force(spark, monkeypatch, kind, scale, family):
     assert got == want
 
 
-@pytest.mark.parametrize("find", [search.knn])
+@pytest.mark.parametrize("find", [search.knn, search.knn_all_families])
 def test_no_row_holds_a_block(spark, find):
     """Arrow takes up to 10,000 rows at a time, so a row of megabytes makes batches of gigabytes."""
     vectors = spark.createDataFrame([(i, "a", [float(i), 1.0]) for i in range(30)], "id long, family string, vector array<float>")
